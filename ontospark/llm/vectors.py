@@ -95,7 +95,7 @@ class AnisotropicCodes:
     assignments are found by coordinate descent, each step exact given the others.
     """
 
-    def __init__(self, width: int = 4, threshold: float = 0.6, rounds: int = 3, seed: int = 7):
+    def __init__(self, width: int = 2, threshold: float = 0.35, rounds: int = 1, seed: int = 7):
         self.width, self.threshold, self.rounds, self.seed = width, threshold, rounds, seed
         self.books = np.zeros((0, 16, width), np.float32)
 
@@ -161,11 +161,17 @@ class AnisotropicCodes:
 
     def byte_tables(self, queries: np.ndarray) -> tuple[np.ndarray, float]:
         """For long scans: the tables of two neighbouring subspaces as one of 256 entries, in 16-bit integers, and their scale."""
-        t = self.tables(queries)
+        t = self.tables(queries).astype(np.float32)
         both = t[1::2, :, None, :] + t[::2, None, :, :]
         scale = 30000.0 / max(1e-9, float(np.abs(both).max(1).max(1).sum(0).max()))
         return np.rint(both.reshape(len(both), 256, -1) * scale).astype(np.int16), scale
 
+    def short_tables(self, queries: np.ndarray) -> tuple[np.ndarray, float]:
+        """The 16-entry tables in 16-bit integers and their scale."""
+        t = self.tables(queries)
+        scale = 30000.0 / max(1e-9, float(np.abs(t).max(1).sum(0).max()))
+        return np.rint(t * scale).astype(np.int16), scale
+
     @staticmethod
     def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products (row, query): one table row per four-bit code, summed over the subspaces."""
