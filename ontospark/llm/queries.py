@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ontospark.llm import clusters, copies, leaks, mixing, neighbours
+from ontospark.llm import clusters, copies, leaks, mixing, neighbours, overlaps, reading
 from ontospark.runtime import table
 
 
@@ -12,14 +12,69 @@ def queries() -> dict:
         "p1_nearest": lambda s, d: neighbours.nearest(table(s, d, "entities")),
         "p3_found": lambda s, d: clusters.cluster_members(table(s, d, "entities")),
         "p3_clusters": lambda s, d: clusters.cluster_report(table(s, d, "entities")),
+        "p4_found": lambda s, d: overlaps.overlap_pairs(table(s, d, "entities")),
+        "p4_report": lambda s, d: overlaps.overlap_report(table(s, d, "entities")),
         "p5_found": lambda s, d: copies.copy_links(table(s, d, "entities")),
         "p5_records": lambda s, d: copies.collapsed_records(table(s, d, "entities")),
         "p7_found": lambda s, d: leaks.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
         "p7_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_mix": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).picks(),
         "p8_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
+        "p9_found": lambda s, d: reading.reading_bands(table(s, d, "documents")),
+        "p9_profile": lambda s, d: reading.reading_profile(table(s, d, "documents")),
     }
 
 
+_RECORDS = r"""
+WITH e AS (
+  SELECT id, text_description AS t, CASE WHEN trim(coalesce(dataset, '')) = '' THEN 'default' ELSE lower(trim(dataset)) END AS g
+  FROM entities WHERE regexp_matches(text_description, '[^ \t\r\n\f\v]')),
+k AS (
+  SELECT *, array_to_string(list_sort(list_filter(regexp_split_to_array(
+    regexp_replace(lower(t), '[^\p{L}\p{N};|\r\n]+', '', 'g'), '[;|\r\n]+'), lambda x: x <> '')), ';') AS key FROM e)
+"""
+
+_OVERLAPS = r"""
+WITH w AS (
+  SELECT id, lower(trim(split_name)) AS s, CASE WHEN trim(coalesce(dataset, '')) = '' THEN 'default' ELSE lower(trim(dataset)) END AS g,
+    list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text_description), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS ws
+  FROM entities WHERE regexp_matches(text_description, '[\p{L}\p{N}]')),
+x AS (SELECT id, s, unnest(ws) AS word, len(ws) AS n FROM w WHERE s IN ('train', 'test', 'dev')),
+c AS (
+  SELECT a.id AS e, b.id AS t, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS same
+  FROM x a JOIN x b ON a.word = b.word AND a.s <> 'train' AND b.s = 'train' AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.id, b.id),
+hit AS (SELECT e, t, (n = same AND m = same) AS equal FROM c WHERE 10 * same >= 8 * (n + m - same))
+"""
+
+_LEAKS = r"""
+WITH i AS (
+  SELECT item_id, regexp_split_to_array(trim(regexp_replace(lower(item_text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 7], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - 6)) AS s FROM i)),
+d AS (
+  SELECT doc_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 7], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - 6)) AS s FROM d))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (p)
+"""
+
+_BANDS = r"""
+WITH d AS (
+  SELECT doc_id, text, len(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS n,
+    length(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) AS c,
+    len(list_filter(regexp_split_to_array(text, '[.!?](\s+|$)'), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) AS s
+  FROM documents WHERE lower(trim(lang)) LIKE 'en%' AND regexp_matches(text, '[\p{L}\p{N}]'))
+SELECT DISTINCT doc_id, reading_band FROM (
+  SELECT doc_id, CASE WHEN n <= 10 * s AND c <= 4.4 * n THEN 'basic' WHEN n >= 21 * s AND c >= 5.9 * n THEN 'advanced' END AS reading_band FROM d WHERE n >= 30)
+WHERE reading_band IS NOT NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": _OVERLAPS + "SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM hit",
+        "p4_report": _OVERLAPS + """SELECT s AS split, g AS dataset, count(*) AS records, count(q.e) AS overlapping, coalesce(sum(CAST(q.equal AS BIGINT)), 0)::BIGINT AS exact
+          FROM w LEFT JOIN (SELECT e, bool_or(equal) AS equal FROM hit GROUP BY e) q ON w.id = q.e WHERE s IN ('test', 'dev') GROUP BY 1, 2""",
+        "p5_found": _RECORDS + "SELECT keep_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY g, key) AS keep_id FROM k) WHERE id <> keep_id",
+        "p5_records": _RECORDS + "SELECT g AS dataset, min(id) AS keep_id, count(*) AS copies, count(DISTINCT t) AS variants FROM k GROUP BY g, key",
+        "p7_found": _LEAKS,
+        "p9_found": _BANDS,
+    }
