@@ -191,24 +191,25 @@ def near_neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     slack, shared = index.slack(least), spark.sparkContext.broadcast(index)
     stash = Stash(spark, "neighbours")
     # copies: two hashes of the whole array, computed without leaving the JVM
-    keyed = source.filter(F.size("embedding") == dim).select("id", F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g"))
+    low, high, inf = F.array_min("embedding"), F.array_max("embedding"), F.lit(float("inf"))
+    good = (F.size("embedding") == dim) & (F.size(F.array_compact("embedding")) == dim) & (high < inf) & (low > -inf) & ((high > 0) | (low < 0))
+    keyed = source.filter(good).select("id", F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g"))
     groups = stash.put(keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "rep"))
     copied = groups.limit(1).count() > 0
     rows = source
     if copied:
         member = stash.put(keyed.join(groups, ["h", "g"]).select("id", "rep").distinct())
-        rows = source.dropDuplicates(["id"]).join(member.filter("id <> rep").select("id"), "id", "left_anti")
+        rows = source.join(member.filter("id <> rep").select("id"), "id", "left_anti")
     cells = rows.mapInArrow(_index_rows(shared, True), "cell int, id long, code binary, vec binary")
     pairs = cells.groupBy("cell").applyInArrow(_scan_cell(shared, k, least, slack), "id long, near long, cosine double")
     if copied:
-        usable = member.join(source.dropDuplicates(["id"]), "id").filter(F.exists("embedding", lambda v: v != 0) & F.forall("embedding", lambda v: F.abs(v) < float("inf"))).select("id", "rep")
         order = Window.partitionBy("rep").orderBy("id")
-        first = usable.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("rep", F.col("id").alias("copy"))
+        first = member.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("rep", F.col("id").alias("copy"))
         spread = pairs.join(first, F.col("near") == F.col("rep"), "left").select("id", F.coalesce("copy", "near").alias("near"), "cosine")
         own = first.select(F.col("rep").alias("id"), F.col("copy").alias("near"), F.lit(1.0).alias("cosine"))
         # k + 1, as a group's list holds its own members too
         lists = _ranked(spread.unionByName(own), k + 1).select(F.col("id").alias("rep"), "near", "cosine")
-        pairs = lists.join(usable, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near", "cosine").filter("id <> near")
+        pairs = lists.join(member, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near", "cosine").filter("id <> near")
     return _ranked(pairs, k)
 
 
