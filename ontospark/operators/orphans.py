@@ -30,17 +30,16 @@ def _from(bit: Column) -> Column:
 
 def _upto(bit: Column) -> Column:
     """Bits 0..bit-1, bit in 0..64."""
-    return F.when(bit <= 0, F.lit(0).cast("long")).when(bit >= 64, F.lit(_ALL).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")) - 1)
+    low = F.call_function("shiftrightunsigned", F.lit(_ALL).cast("long"), (64 - bit).cast("int"))
+    return F.when(bit <= 0, F.lit(0).cast("long")).when(bit >= 64, F.lit(_ALL).cast("long")).otherwise(low)
 
 
-def availability_bitmaps(spans: DataFrame) -> DataFrame:
-    """``(key, block, have)`` from ``(key, since, until)``: months wholly inside a span, as 64-bit containers."""
+def availability_bitmaps(spans: DataFrame, low: int, high: int) -> DataFrame:
+    """``(key, block, have)`` from ``(key, since, until)``: months wholly inside a span, as 64-bit containers ``low`` to ``high``."""
     first = _month(F.col("since")) + F.when(F.col("since") > F.date_trunc("month", "since"), 1).otherwise(0)
-    end = F.coalesce(_month(F.col("until")), F.lit(12 * 9999))  # exclusive; an open span covers every later month
-    wide = spans.select("key", first.alias("a"), end.alias("b")).filter("a < b")
-    # an open span is given blocks up to year 2200 only where references ask for them, by the join below
-    blocks = F.sequence(F.floor(F.col("a") / 64), F.floor((F.least(F.col("b"), F.lit(12 * 2200)) - 1) / 64))
-    cut = wide.filter(F.col("a") < 12 * 2200).select("key", "a", "b", F.explode(blocks).alias("block"))
+    end = F.coalesce(_month(F.col("until")), F.lit(64 * (high + 1)))  # exclusive
+    wide = spans.select("key", F.greatest(first, F.lit(64 * low)).alias("a"), F.least(end, F.lit(64 * (high + 1))).alias("b")).filter("a < b")
+    cut = wide.select("key", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 64), F.floor((F.col("b") - 1) / 64))).alias("block"))
     lo, hi = F.col("a") - F.col("block") * 64, F.col("b") - F.col("block") * 64
     bits = _from(F.greatest(lo, F.lit(0))).bitwiseAND(_upto(hi))
     return cut.select("key", F.col("block").cast("long").alias("block"), bits.alias("bits")).groupBy("key", "block").agg(F.bit_or("bits").alias("have"))
@@ -51,7 +50,8 @@ def _settle(refs: DataFrame, spans: DataFrame, stash: Stash) -> DataFrame:
     month = _month(F.col("at"))
     placed = refs.withColumns({"block": F.floor(month / 64), "bit": F.pmod(month, F.lit(64)).cast("int")})
     asked = placed.groupBy("key", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("want"))
-    have = availability_bitmaps(spans)
+    edge = asked.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
+    have = availability_bitmaps(spans, edge.low or 0, edge.high or 0)
     left = asked.join(have, ["key", "block"], "left").select("key", "block", F.col("want").bitwiseAND(F.bitwise_not(F.coalesce("have", F.lit(0).cast("long")))).alias("open")).filter("open <> 0")
     # decode: the references whose bit survived; a container named by very many references meets them in SALTS parts
     dealt = left.select("key", "block", "open", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
