@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontospark.plans import problems
+from ontospark.plans import problems, reference
 
-_MODULES = [problems]
+_MODULES = [reference, problems]
 
 
 def queries() -> dict:
