@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,23 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it is proven to be below this many bytes.
 BROADCAST_BYTES = 32 << 20
 _local: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for an application, wherever they run and whatever their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    handle, name = tempfile.mkstemp(prefix="ontospark-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(name)  # the driver serves it from here
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
