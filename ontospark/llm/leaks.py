@@ -33,12 +33,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts in one byte string: start, end, hash and text number of each."""
+    """The words of some texts in one byte string: start, end, hash and text number of each. Spaces and control bytes part words."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b" ".join(texts) + b" "
         raw = np.frombuffer(self.data, np.uint8)
-        space = raw == 32
+        space = raw <= 32
         before = np.concatenate([[True], space[:-1]])
         self.start = np.flatnonzero(~space & before)
         self.end = np.flatnonzero(space & ~before)
