@@ -207,38 +207,42 @@ def near_axes(x: np.ndarray, rot: np.ndarray, ratio: float, most: int) -> tuple[
     return rows, (2 * axis + (y[rows, axis] < 0)).astype(np.int32)
 
 
-def link_to_leaders(x: np.ndarray, ids: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
-    """For each unit row the smallest-position leader of its group: rows joined through pairs of cosine >= ``least``.
+#: Float32 scores nearer than this to the threshold are computed again in float64.
+CLOSE = 1e-5
 
-    Blocks of rows are compared with the leaders so far, then among themselves (whole block, exact components); a leader stands for
-    the rows behind it. Returns positions.
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of ``a`` and ``b`` pair by pair; every row of ``root`` points at the smallest position of its tree."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def link_to_leaders(x: np.ndarray, ids: np.ndarray, least: float, block: int = 1024, split: int = 0) -> np.ndarray:
+    """For each unit row the smallest position of its group: rows joined through pairs of cosine >= ``least``.
+
+    Every pair of rows is compared, block by block; with ``split`` only those of a row before it and one from it on. Scores are
+    float32 products, those within ``CLOSE`` of the threshold float64 ones. Returns positions.
     """
-    n = len(x)
-    lead = np.arange(n)
-    leaders = np.zeros(0, np.int64)
-    for start in range(0, n, block):
-        rows = np.arange(start, min(n, start + block))
-        if len(leaders):
-            best = np.full(len(rows), -2.0, np.float32)
-            who = np.zeros(len(rows), np.int64)
-            for at in range(0, len(leaders), 4096):
-                score = x[rows] @ x[leaders[at : at + 4096]].T
-                top = score.argmax(1)
-                value = score[np.arange(len(rows)), top]
-                better = value > best
-                best[better], who[better] = value[better], leaders[at + top[better]]
-            hit = best >= least
-            lead[rows[hit]] = who[hit]
-            rows = rows[~hit]
-        if len(rows) > 1:
-            alike = (x[rows] @ x[rows].T) >= least
-            label = alike.argmax(1)
-            if (label != np.arange(len(rows))).any():
-                while True:
-                    lower = np.where(alike, label[None, :], len(rows)).min(1)
-                    if (lower >= label).all():
-                        break
-                    label = np.minimum(label, lower)
-                lead[rows] = rows[label]
-        leaders = np.concatenate([leaders, rows[lead[rows] == rows]])
-    return lead
+    n, y = len(x), x.astype(np.float32)
+    root = np.arange(n)
+    for start in range(0, split or n, block):
+        stop = min(split or n, start + block)
+        for at in range(split or start, n, 4 * block):
+            score = y[start:stop] @ y[at : at + 4 * block].T
+            a, b = np.divmod(np.flatnonzero(score >= least - CLOSE), score.shape[1])
+            near = score[a, b] < least + CLOSE
+            a, b = a + start, b + at
+            keep = root[a] != root[b]
+            if keep.any():
+                a, b, near = a[keep], b[keep], near[keep]
+                near = np.flatnonzero(near)
+                low = near[(x[a[near]].astype(np.float64) * x[b[near]]).sum(1) < least]
+                _unite(root, np.delete(a, low), np.delete(b, low))
+    return root

@@ -65,6 +65,36 @@ def test_leaders_are_components():
     assert link_to_leaders(chain, np.arange(4), 0.7).tolist() == [0, 0, 0, 3]
 
 
+def test_rows_alike_to_two_leaders_join_them():
+    turn = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+    x = np.array([turn(d) for d in (0, 80, 40, 110)])
+    # 0 and 80 degrees are no alike pair; the third row, in a later block, is alike to both, the fourth to the second alone
+    assert link_to_leaders(x, np.arange(4), 0.7, block=2).tolist() == [0, 0, 0, 0]
+    assert link_to_leaders(x, np.arange(4), 0.7, split=2).tolist() == [0, 0, 0, 0]
+    assert link_to_leaders(x[[0, 1, 3]], np.arange(3), 0.7, split=1).tolist() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("rows", [1 << 15, 17])
+def test_chains_stay_whole(spark, monkeypatch, rows):
+    """Clusters that only a chain of pairs near the threshold holds together, over one strip and over many."""
+    monkeypatch.setattr(clusters, "SALT_ROWS", rows)
+    rng, at, x = np.random.default_rng(4), [], []
+    for chain in range(6):
+        v = rng.standard_normal(128)
+        v /= np.linalg.norm(v)
+        for _ in range(25):
+            x.append(v)
+            at.append(chain)
+            step = rng.standard_normal(128)
+            step -= (step @ v) * v
+            v = 0.705 * v + np.sqrt(1 - 0.705**2) * step / np.linalg.norm(step)
+    order = rng.permutation(len(x))
+    x, at = np.array(x, np.float32)[order], np.array(at)[order]
+    first = {c: int(np.flatnonzero(at == c)[0]) + 1 for c in range(6)}
+    got = {r.id: r.cluster_id for r in clusters.cluster_members(frame(spark, x, ["a"] * len(x))).collect()}
+    assert got == {i + 1: first[c] for i, c in enumerate(at)}
+
+
 def brute_pairs(x, k=5, least=0.96):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
