@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +25,7 @@ def entities(spark, rows):
 def test_overlaps_match_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
-    base = [rng.sample(vocab, rng.choice([1, 2, 3, 4, 5, 8, 12, 20, 35, 60, 64, 66, 90, 150])) for _ in range(120)]
+    base = [rng.sample(vocab, rng.choice([1, 2, 3, 4, 5, 8, 12, 20, 35, 60, 64, 66, 90, 150])) for _ in range(1500)]
     rows = []
     for i in range(500):
         w = list(rng.choice(base))
@@ -177,3 +178,36 @@ def test_every_query_is_registered():
 def test_null_tokens(spark):
     df = docs(spark, [(1, "hello world", "en", "s"), (2, None, "en", "s"), (3, "", "en", "s")])
     assert [r.n for r in df.orderBy("doc_id").select(mixing.token_counts(F.col("text")).alias("n")).collect()] == [2, None, 0]
+
+
+def test_levels_are_those_of_the_converged_model(spark):
+    """Against the same model solved in NumPy by as many turns as it takes."""
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 12))) for _ in range(70)]
+    weight = 1 / np.arange(1, 71)
+    texts = [sorted(set(rng.choice(names, rng.integers(8, 60), p=weight / weight.sum()))) for _ in range(1500)]
+    vocabulary = sorted({w for t in texts for w in t})
+    has = np.array([[w in t for w in vocabulary] for t in texts], float)
+    docs = has.sum(0)
+    own, size = docs >= reading.LEAST_DOCS, np.array([len(w) for w in vocabulary], float)
+    rarity = -np.log(np.where(own, docs, reading.LEAST_DOCS) / len(texts))
+    prior = (size - np.average(size[own], weights=docs[own])) / 3 + 0.15 * (rarity - np.average(rarity[own], weights=docs[own]))
+    b, level = prior.copy(), np.zeros(len(texts))
+    for _ in range(600):
+        p = has / (1 + np.exp(b - level[:, None]))
+        level += np.clip((reading.KNOWN * has.sum(1) - p.sum(1) - reading.HOLD_TEXT * level) / ((p * (1 - p)).sum(1) + reading.HOLD_TEXT), -1, 1)
+        p = has / (1 + np.exp(b - level[:, None]))
+        step = ((p - reading.KNOWN * has).sum(0) - reading.HOLD_WORD * (b - prior)) / ((p * (1 - p)).sum(0) + reading.HOLD_WORD)
+        b += np.where(own, np.clip(step, -1, 1), 0)
+    assert np.abs(step[own]).max() < 1e-5
+    df = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.level for r in reading.reading_levels(df).collect()}
+    want = (level - level.mean()) / level.std()
+    assert max(abs(got[i] - v) for i, v in enumerate(want)) < 0.005
+
+
+def test_turns_without_an_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(reading, "MOST_TURNS", 1)
+    df = spark.createDataFrame([(i, " ".join(["word", "other", "longerword"][: 1 + i % 3] * 3), "en") for i in range(12)], "doc_id long, text string, lang string")
+    with pytest.raises(RuntimeError, match="still move"):
+        reading.reading_levels(df)
