@@ -45,9 +45,10 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(t, "node", "left").select("node", c.alias("coefficient"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """``(node, rank)`` over undirected weighted edges, a fixed number of rounds; nodes without an edge spread evenly. Each round is
-    written to the shared folder."""
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int | None = None, tol: float = 1e-6, most: int = 100) -> DataFrame:
+    """``(node, rank)`` over undirected weighted edges; nodes without an edge spread evenly. Rounds end when the ranks moved by less
+    than ``tol`` a node in sum, as in networkx; not to get there in ``most`` is an error. ``rounds`` asks for a fixed number instead.
+    Each round is written to the shared folder."""
     spark = edges.sparkSession
     stash = Stash(spark, "pagerank")
     both = edges.select("src", "dst", "weight").unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -55,13 +56,20 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: in
     flow = stash.put(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     n = nodes.count()
     rank = stash.put(nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank")))
-    for _ in range(rounds):
+    for _ in range(most if rounds is None else rounds):
         moved = flow.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         kept = moved.agg(F.sum("got")).first()[0] or 0.0
-        new = stash.put(rank.select("node").join(moved, F.col("node") == F.col("dst"), "left").select("node", (alpha * (F.coalesce("got", F.lit(0.0)) + (1.0 - kept) / n) + (1 - alpha) / n).alias("rank")))
+        now = (alpha * (F.coalesce("got", F.lit(0.0)) + (1.0 - kept) / n) + (1 - alpha) / n) if n else F.lit(0.0)
+        new = stash.put(rank.join(moved, F.col("node") == F.col("dst"), "left").select("node", now.alias("rank"), F.abs(now - F.col("rank")).alias("step")))
+        step = new.agg(F.sum("step")).first()[0] or 0.0
         stash.drop(rank)
         rank = new
-    return rank
+        if rounds is None and (not n or step < n * tol):
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks still move by {step:.3g} in sum after {most} rounds")
+    return rank.select("node", "rank")
 
 
 def roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:

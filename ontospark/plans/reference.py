@@ -602,6 +602,11 @@ def _(s, d):
     return G.pagerank(_near_graph(s, d), _emb(s, d).select(F.col("vec_id").alias("node")), rounds=5).select("node", F.round("rank", 8).alias("rank"))
 
 
+@query("pagerank_converged")
+def _(s, d):
+    return G.pagerank(_near_graph(s, d), _emb(s, d).select(F.col("vec_id").alias("node"))).select("node", F.round("rank", 8).alias("rank"))
+
+
 @query("graph_features", _GRAPH + ", c AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY src) SELECT vec_id, degree, len(embedding) + 1 AS width FROM embeddings JOIN c ON node = vec_id")
 def _(s, d):
     e = _emb(s, d)

@@ -68,6 +68,28 @@ def test_graph_goldens(spark):
     assert {tuple(r.cycle) for r in G.short_cycles(loop).collect()} == {("a", "b"), ("a", "b", "c"), ("x",)}
 
 
+def test_pagerank_runs_to_its_tolerance(spark):
+    """The ranks of FIXTURES 3.3, then the very iterate at which networkx's rule (sum of moves < n * tol) stops, on a slow chain."""
+    e = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 0.1), ("c", "d", 1.0)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    rank = {r.node: round(r["rank"], 6) for r in G.pagerank(e, nodes, tol=1e-8).collect()}
+    assert rank == {"a": 0.34256, "b": 0.242493, "c": 0.268691, "d": 0.146256}
+    w = np.zeros((7, 7))
+    for i in range(5):  # node 6 has no edge
+        w[i, i + 1] = w[i + 1, i] = 1.0 + 4 * (i % 2)
+    x, last, turns = np.full(7, 1 / 7), np.zeros(7), 0
+    share = w / np.where(w.sum(1, keepdims=True) > 0, w.sum(1, keepdims=True), 1)
+    while np.abs(x - last).sum() >= 7e-6:
+        last, turns = x, turns + 1
+        x = 0.85 * (x @ share + x[6] / 7) + 0.15 / 7
+    chain = spark.createDataFrame([(i, i + 1, float(w[i, i + 1])) for i in range(5)], "src long, dst long, weight double")
+    all7 = spark.createDataFrame([(i,) for i in range(7)], "node long")
+    got = {r.node: r["rank"] for r in G.pagerank(chain, all7).collect()}
+    assert turns > 20 and max(abs(got[i] - x[i]) for i in range(7)) < 1e-12
+    with pytest.raises(RuntimeError, match="still move"):
+        G.pagerank(chain, all7, most=5)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([('x {"a":1, "types": ["q","p"]} y',), ("none",), ('{"types": broken}',), (None,)], "t string")
     assert [r[0] for r in df.select(P.extract_types(F.col("t"))).collect()] == [["p", "q"], [], [], []]
