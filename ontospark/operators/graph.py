@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontospark.operators.components import connected_components
+from ontospark.operators.hierarchy import Hierarchy
 from ontospark.runtime import Stash
 
 
@@ -90,6 +93,25 @@ def short_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     return found
 
 
+_CYCLE = pa.schema([("cycle", pa.list_(pa.string()))])
+
+
+def _walk(t: pa.Table) -> pa.Table:
+    up = dict(zip(t.column("node").to_pylist(), t.column("parent").to_pylist()))
+    path = [min(up, key=lambda x: x.encode())]
+    while up[path[-1]] != path[0]:
+        path.append(up[path[-1]])
+    return pa.table([[path]], schema=_CYCLE)
+
+
+def all_cycles(links: DataFrame) -> DataFrame:
+    """``(cycle)``: every loop of ``(child, parent)`` links with one parent per child, of any length, from its smallest node. With one
+    parent each, loops share no node, so all of them are no longer than the links; one loop is walked in one task."""
+    on = Stash(links.sparkSession, "cycles").put(Hierarchy(links).loops())
+    parts = connected_components(on, "node", "parent")
+    return on.join(parts, "node").select("component", "node", "parent").groupBy("component").applyInArrow(_walk, "cycle array<string>")
+
+
 def component_stats(components: DataFrame) -> DataFrame:
     """``(components, nodes, largest, mean_size)``."""
     return components.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"))

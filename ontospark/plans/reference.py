@@ -549,6 +549,11 @@ def _(s, d):
     return G.short_cycles(_tree(s, d)).select(F.array_join("cycle", " | ").alias("cycle"))
 
 
+@query("all_cycles", _TREE.replace("WITH r", "WITH RECURSIVE r") + ", w AS (SELECT child AS s, parent AS t, [child] AS path FROM l UNION ALL SELECT s, l.parent, list_append(path, l.child) FROM w JOIN l ON l.child = w.t WHERE w.t > w.s AND NOT list_contains(path, w.t)) SELECT array_to_string(path, ' | ') AS cycle FROM w WHERE t = s")
+def _(s, d):
+    return G.all_cycles(_tree(s, d)).select(F.array_join("cycle", " | ").alias("cycle"))
+
+
 _COMPONENTS = """WITH RECURSIVE p AS (SELECT DISTINCT parent_id AS a, child_id AS b FROM relation_pairs WHERE parent_id IS NOT NULL AND child_id IS NOT NULL),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, w.low FROM w JOIN e ON e.a = w.node AND w.low < e.b)
 SELECT node, min(low) AS component FROM (SELECT node, low FROM w UNION ALL SELECT node, node FROM w) GROUP BY node"""

@@ -90,6 +90,17 @@ def test_pagerank_runs_to_its_tolerance(spark):
         G.pagerank(chain, all7, most=5)
 
 
+def test_long_loops_are_listed(spark):
+    """Loops of 1, 2, 5 and 40 nodes with tails below them, and a tree."""
+    def ring(name, n):
+        return [(f"{name}{(i * 7) % n:02}", f"{name}{(i + 1) * 7 % n:02}") for i in range(n)]
+
+    rows = [("x", "x"), *ring("b", 2), *ring("e", 5), *ring("z", 40), ("low", "e03"), ("lower", "low"), ("t1", "t0"), ("t2", "t1")]
+    got = {tuple(r.cycle) for r in G.all_cycles(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    assert got == {("x",), ("b00", "b01"), tuple(f"e{i * 7 % 5:02}" for i in range(5)), tuple(f"z{i * 7 % 40:02}" for i in range(40))}
+    assert G.all_cycles(spark.createDataFrame(rows[-2:], "child string, parent string")).count() == 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([('x {"a":1, "types": ["q","p"]} y',), ("none",), ('{"types": broken}',), (None,)], "t string")
     assert [r[0] for r in df.select(P.extract_types(F.col("t"))).collect()] == [["p", "q"], [], [], []]
