@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ontospark.operators.order import ranged
+from ontospark.runtime import Stash
+
 
 def threshold_grid(spark, points: int = 94, step: float = 0.01) -> DataFrame:
     """``0.01 + i * 0.01``, with the floating-point drift of that sum."""
@@ -15,16 +18,26 @@ def threshold_grid(spark, points: int = 94, step: float = 0.01) -> DataFrame:
 def sweep(scored: DataFrame, thresholds: list[float], score: str = "score", truth: str = "y") -> DataFrame:
     """``(threshold, tp, fp, tn, fn, accuracy, precision, recall, f1)`` at strict ``score > threshold``: rows are counted once by how
     many thresholds they pass, thresholds then read sums over those counts. Division by zero gives 0; null scores or truths are left out."""
-    spark = scored.sparkSession
     cuts = sorted(set(thresholds))
     passed = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("s")))
     counts = scored.select(F.col(score).alias("s"), F.col(truth).cast("int").alias("t")).filter("s is not null and t is not null").groupBy(passed.alias("b")).agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
-    base = spark.createDataFrame([(i, float(c), 0, 0) for i, c in enumerate(cuts, 1)] + [(0, None, 0, 0)], "b int, threshold double, pos long, neg long")
+    return sweep_counts(counts, cuts)
+
+
+def sweep_counts(counts: DataFrame, thresholds: list[float]) -> DataFrame:
+    """:func:`sweep` from ``(b, pos, neg)``: rows by how many of the ascending thresholds they pass."""
+    cuts = sorted(set(thresholds))
+    base = counts.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(cuts, 1)] + [(0, None)], "b int, threshold double")
     # at most one row per threshold, so one window over all of them is small
-    every = base.drop("pos", "neg").join(F.broadcast(counts), "b", "left").fillna(0, ["pos", "neg"])
+    every = base.join(F.broadcast(counts), "b", "left").fillna(0, ["pos", "neg"])
     up = Window.partitionBy().orderBy("b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     low = Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     c = every.select("threshold", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.coalesce(F.sum("neg").over(low), F.lit(0)).alias("tn"), F.coalesce(F.sum("pos").over(low), F.lit(0)).alias("fn")).filter("threshold is not null")
+    return with_ratios(c)
+
+
+def with_ratios(c: DataFrame) -> DataFrame:
+    """Adds accuracy, precision, recall and f1 to rows with tp, fp, tn and fn; division by zero gives 0."""
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     acc = ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
@@ -39,15 +52,17 @@ def best_thresholds(swept: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
-    """``(auc, pos, neg)`` with ties averaged; one class only gives 0. Rows are first counted by distinct score, and the distinct scores
-    summed range by range (so no single task sorts them all)."""
-    spark = scored.sparkSession
-    by = scored.select(F.col(score).alias("s"), F.col(truth).cast("long").alias("t")).filter("s is not null and t is not null").groupBy("s").agg(F.sum("t").alias("p"), F.sum(1 - F.col("t")).alias("n"))
-    cuts = by.agg(F.percentile_approx("s", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("s")))
-    by = by.withColumn("part", part)
-    sums = by.groupBy("part").agg(F.sum("n").alias("pn"))
-    before = sums.select("part", F.coalesce(F.sum("pn").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """``(auc, pos, neg)`` with ties averaged; one class only gives 0. Rows are first counted by distinct score."""
+    rows = scored.select(F.col(score).cast("double").alias("s"), F.col(truth).cast("long").alias("t")).filter("s is not null and t is not null")
+    return auc_of_counts(rows.groupBy("s").agg(F.sum("t").alias("p"), F.sum(1 - F.col("t")).alias("n")))
+
+
+def auc_of_counts(by: DataFrame) -> DataFrame:
+    """``(auc, pos, neg)`` from ``(s, p, n)``: positives and negatives at each distinct score, summed range by range of scores, so that
+    no single task sorts them all."""
+    by = Stash(by.sparkSession, "auc").put(ranged(by, "s", "part"))
+    # one row per range
+    before = by.groupBy("part").agg(F.sum("n").alias("pn")).select("part", F.coalesce(F.sum("pn").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     u = by.join(F.broadcast(before), "part").withColumn("below", F.col("base") + inner)
     total = u.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("neg"))
@@ -55,7 +70,7 @@ def roc_auc(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFr
 
 
 def weighted_bce(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
-    """Class means of -log p and -log(1-p), each divided by its class count again and by the counts' sum of inverses; logs end at -100."""
+    """Class means of -log p and -log(1-p), each divided by its class count again; logs end at -100."""
     log = lambda c: F.greatest(F.when(c > 0, F.log(c)).otherwise(-100.0), F.lit(-100.0))
     one, zero = F.when(F.col(truth) == 1, -log(F.col(score))), F.when(F.col(truth) == 0, -log(1 - F.col(score)))
     a = scored.agg(F.avg(one).alias("a"), F.avg(zero).alias("b"), F.count(one).alias("n1"), F.count(zero).alias("n0"))
@@ -76,8 +91,18 @@ def histogram(df: DataFrame, score: str = "score", bins: int = 50) -> DataFrame:
 
 def ecdf(df: DataFrame, score: str = "score") -> DataFrame:
     """``(score, share)``: share of rows at or below each distinct score, from counts."""
-    n = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    return n.select("score", (F.sum("n").over(Window.partitionBy().orderBy("score")) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    return ecdf_of_counts(df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n")))
+
+
+def ecdf_of_counts(n: DataFrame) -> DataFrame:
+    """:func:`ecdf` from ``(score, n)``, summed range by range of scores."""
+    n = ranged(n, "score", "part")
+    part = n.groupBy("part").agg(F.sum("n").alias("pn"))
+    # one row per range
+    over = Window.partitionBy().orderBy("part")
+    part = part.select("part", (F.sum("pn").over(over) - F.col("pn")).alias("base"), F.sum("pn").over(Window.partitionBy()).alias("all"))
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("score"))
+    return n.join(F.broadcast(part), "part").select("score", (upto / F.col("all")).alias("share"))
 
 
 def percentile(df: DataFrame, share: float, score: str = "score") -> DataFrame:

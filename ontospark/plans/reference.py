@@ -5,7 +5,7 @@ Floats are rounded in both; arrays are sorted or joined to text.
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +20,7 @@ from ontospark.operators import relations as R
 from ontospark.operators import similarity as S
 from ontospark.operators.components import connected_components
 from ontospark.operators.hierarchy import term_links
+from ontospark.operators.order import numbered
 from ontospark.runtime import dataset_key, table
 from ontospark.sources.files import edge_lines, with_relation_ids
 from ontospark.streaming import windows as W
@@ -111,30 +112,35 @@ def _(s, d):
 
 @query("similarity_topn_global", _PAIRS + "SELECT i, j, round(score, 6) AS score FROM sc WHERE i < j ORDER BY sc.score DESC, i, j LIMIT 20")
 def _(s, d):
-    return S.pairs(_emb(s, d), "vec_id", "embedding", above=0.0).filter("i < j").orderBy(F.col("score").desc(), "i", "j").limit(20).select("i", "j", _r("score").alias("score"))
+    return S.highest_pairs(_emb(s, d), "vec_id", "embedding", 20).select("i", "j", _r("score").alias("score"))
 
 
-def _scored(s, d) -> DataFrame:
-    lab = _emb(s, d).select("vec_id", "label")
-    p = S.pairs(_emb(s, d), "vec_id", "embedding")
-    a, b = lab.select(F.col("vec_id").alias("i"), F.col("label").alias("a")), lab.select(F.col("vec_id").alias("j"), F.col("label").alias("b"))
-    return p.join(a, "i").join(b, "j").select("i", "j", "score", (F.col("a") == F.col("b")).cast("int").alias("y"))
+def _all(s, d, labels: bool = True, **options) -> S.PairScores:
+    return S.PairScores(_emb(s, d), "vec_id", "embedding", "label" if labels else None, **options)
 
 
 @query("score_stats", _PAIRS + "SELECT count(*) AS n, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM sc")
 def _(s, d):
-    return M.score_stats(S.pairs(_emb(s, d), "vec_id", "embedding")).select("n", *[_r(c).alias(c) for c in ("low", "high", "mean", "std")])
+    return _all(s, d, False).stats().select("n", *[_r(c).alias(c) for c in ("low", "high", "mean", "std")])
 
 
 @query("score_histogram", _PAIRS + """, r AS (SELECT round(score, 6) AS s FROM sc), m AS (SELECT min(s) AS lo, max(s) AS hi FROM r)
 SELECT CAST(least(floor((s - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM r, m GROUP BY 1""")
 def _(s, d):
-    return M.histogram(S.pairs(_emb(s, d), "vec_id", "embedding").select(_r("score").alias("score")))
+    return _all(s, d, False, shape=_six).histogram()
 
 
 @query("score_ecdf", _PAIRS + "SELECT s AS score, round(sum(count(*)) OVER (ORDER BY s) / sum(count(*)) OVER (), 6) AS share FROM (SELECT round(score, 3) + 0.0 AS s FROM sc) GROUP BY s")
 def _(s, d):
-    return M.ecdf(S.pairs(_emb(s, d), "vec_id", "embedding").select((_r("score", 3) + 0.0).alias("score"))).select("score", _r("share").alias("share"))
+    return M.ecdf_of_counts(_all(s, d, False).values(3)).select("score", _r("share").alias("share"))
+
+
+def _six(x):
+    return np.round(x, 6)
+
+
+def _swept(s, d, cuts: list[float]) -> DataFrame:
+    return M.sweep_counts(_all(s, d).passed(cuts), cuts)
 
 
 _GRID = "g AS (SELECT i AS pos, 0.01::DOUBLE + i * 0.01::DOUBLE AS threshold FROM range(94) r(i))"
@@ -148,37 +154,44 @@ f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0),
 
 @query("threshold_sweep", _SWEEP + "SELECT round(threshold, 6) AS threshold, tp, fp, tn, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def _(s, d):
-    m = M.sweep(_scored(s, d), THRESHOLDS)
+    m = _swept(s, d, THRESHOLDS)
     return m.select(*[_r(c).alias(c) for c in ("threshold", "accuracy", "precision", "recall", "f1")], "tp", "fp", "tn", "fn")
 
 
 @query("best_thresholds", _SWEEP + """, l AS (UNPIVOT (SELECT threshold, accuracy, precision, recall, f1 FROM f) ON accuracy, precision, recall, f1 INTO NAME metric VALUE value)
 SELECT metric, round(arg_min(threshold, row(-value, threshold)), 6) AS threshold, round(max(value), 6) AS value FROM l GROUP BY metric""")
 def _(s, d):
-    return M.best_thresholds(M.sweep(_scored(s, d), THRESHOLDS)).select("metric", _r("threshold").alias("threshold"), _r("value").alias("value"))
+    return M.best_thresholds(_swept(s, d, THRESHOLDS)).select("metric", _r("threshold").alias("threshold"), _r("value").alias("value"))
 
 
 @query("fixed_threshold_metrics", _SWEEP.replace("FROM range(94) r(i))", "FROM range(0)r(i) UNION ALL SELECT 0, unnest([0.05, 0.15, 0.25, 0.5]::DOUBLE[]))") + "SELECT threshold, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM f")
 def _(s, d):
-    return M.sweep(_scored(s, d), [0.05, 0.15, 0.25, 0.5]).select("threshold", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
+    return _swept(s, d, [0.05, 0.15, 0.25, 0.5]).select("threshold", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
 
 
 @query("share_above", _SWEEP + "SELECT round(threshold, 6) AS threshold, round((tp + fp) / (tp + fp + tn + fn), 6) AS share FROM f")
 def _(s, d):
-    return M.sweep(_scored(s, d), THRESHOLDS).select(_r("threshold").alias("threshold"), _r((F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("share"))
+    return _swept(s, d, THRESHOLDS).select(_r("threshold").alias("threshold"), _r((F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("share"))
 
 
 @query("roc_auc", _PAIRS + """, u AS (SELECT round(score, 9) AS s, same FROM sc), k AS (SELECT s, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS n FROM u GROUP BY s),
 b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k)
 SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc, sum(p)::BIGINT AS pos, sum(n)::BIGINT AS neg FROM b""")
 def _(s, d):
-    return M.roc_auc(_scored(s, d).withColumn("score", _r("score", 9))).select(_r("auc").alias("auc"), "pos", "neg")
+    return S.pair_auc(_all(s, d)).select(_r("auc").alias("auc"), "pos", "neg")
 
 
 @query("weighted_bce", _PAIRS + """, p AS (SELECT same, (round(score, 6) + 1) / 2 AS p FROM sc)
 SELECT round(avg(-ln(p)) FILTER (same) / count(*) FILTER (same) + avg(-ln(1 - p)) FILTER (NOT same) / count(*) FILTER (NOT same), 9) AS loss, count(*) FILTER (same) AS n1, count(*) FILTER (NOT same) AS n0 FROM p""")
 def _(s, d):
-    return M.weighted_bce(_scored(s, d).withColumn("score", (_r("score") + 1) / 2)).select(_r("loss", 9).alias("loss"), "n1", "n0")
+    return _all(s, d, shape=lambda x: (np.round(x, 6) + 1) / 2).losses().select(_r("loss", 9).alias("loss"), "n1", "n0")
+
+
+def _cutoff(s, d) -> tuple[float, float]:
+    """Share of pairs with one label, and the score at that share from the top of all, the diagonal included."""
+    n = _all(s, d).passed([]).first()
+    ratio = n.pos / (n.pos + n.neg)
+    return ratio, _all(s, d, False, diagonal=True).percentile(1 - ratio)
 
 
 _ALLPAIRS = f"WITH sc AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, {_DOT} AS score FROM embeddings a, embeddings b), q AS (SELECT avg(CAST(same AS DOUBLE)) AS r FROM sc WHERE i <> j), l AS (SELECT list_sort(list(score)) AS l FROM sc), w AS (SELECT r, l, (len(l) - 1) * (1 - r) AS pos FROM q, l), z AS (SELECT r, l[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * (l[CAST(floor(pos) AS BIGINT) + 2] - l[CAST(floor(pos) AS BIGINT) + 1]) AS cut FROM w)\n"
@@ -186,15 +199,14 @@ _ALLPAIRS = f"WITH sc AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label
 
 @query("percentile_cutoff", _ALLPAIRS + "SELECT round_even(cut, 3) AS cut, round(r * 100, 6) AS ratio FROM z")
 def _(s, d):
-    ratio = _scored(s, d).agg(F.avg(F.col("y").cast("double"))).first()[0]
-    return M.percentile(S.pairs(_emb(s, d), "vec_id", "embedding", diagonal=True), 1 - ratio).select(P.round3(F.col("cut")).alias("cut"), _r(F.lit(ratio * 100)).alias("ratio"))
+    ratio, cut = _cutoff(s, d)
+    return s.createDataFrame([(cut,)], "cut double").select(P.round3(F.col("cut")).alias("cut"), _r(F.lit(ratio * 100)).alias("ratio"))
 
 
 @query("relations_by_percentile", _ALLPAIRS + "SELECT i, count(*) AS n FROM sc, z WHERE i <> j AND score > round_even(cut, 3) GROUP BY i")
 def _(s, d):
-    ratio = _scored(s, d).agg(F.avg(F.col("y").cast("double"))).first()[0]
-    cut = M.percentile(S.pairs(_emb(s, d), "vec_id", "embedding", diagonal=True), 1 - ratio).select(P.round3(F.col("cut"))).first()[0]
-    return S.pairs(_emb(s, d), "vec_id", "embedding", above=cut).groupBy("i").agg(F.count("*").alias("n"))
+    cut = s.createDataFrame([(_cutoff(s, d)[1],)], "cut double").select(P.round3(F.col("cut"))).first()[0]
+    return _all(s, d, False).above(cut)
 
 
 @query("l2_normalize", "SELECT id, round(list_sum(list_transform(x, lambda v: v * v)), 6) AS square, round(x[1], 6) AS first FROM (SELECT id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS x FROM entities WHERE len(embedding) = 128 AND NOT list_contains(list_transform(embedding, lambda v: isnan(v)), true) AND list_max(embedding) > 0)")
@@ -235,7 +247,7 @@ def _(s, d):
 
 @query("attention_global_softmax", _attention_sql("1000000") + "0.006")
 def _(s, d):
-    return S.attention(_emb(s, d), "vec_id", "embedding", 4, 1_000_000, above=0.006).select("i", "j", _r("score").alias("score"))
+    return S.attention(_emb(s, d), "vec_id", "embedding", 4, None, above=0.006).select("i", "j", _r("score").alias("score"))
 
 
 @query("threshold_or_argmax", """
@@ -280,7 +292,7 @@ def _(s, d):
 @query("label_vocabulary", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos, n FROM (SELECT x AS label, count(*) AS n FROM (SELECT unnest(list_distinct(types)) AS x FROM terms_train) GROUP BY x)")
 def _(s, d):
     v = table(s, d, "terms_train").select(F.explode(F.array_distinct("types")).alias("label")).filter("label is not null").groupBy("label").agg(F.count("*").alias("n"))
-    return v.withColumn("pos", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    return numbered(v, "label")
 
 
 def _links(s, d) -> DataFrame:

@@ -53,11 +53,56 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop path and its file system, so that any storage the session reads is seen, not the driver's disk."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """``(name, is a folder)`` of everything directly in a folder, by name; a missing folder holds nothing."""
+    p, fs = _hadoop(spark, path)
+    return sorted((f.getPath().getName(), f.isDirectory()) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+_kept: dict[str, tuple] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when the driver's Python ends (a killed driver leaves it)."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_folder(spark)}/ontospark-{app}"
+    if app not in _kept:
+        _kept[app] = _hadoop(spark, root)
+        atexit.register(_remove, app)
+    return root
+
+
+def _remove(app: str) -> None:
+    p, fs = _kept.pop(app, (None, None))
+    try:
+        if fs is not None:
+            fs.delete(p, True)
+    except Exception:  # the JVM has gone before; nothing can be removed any more
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every intermediate table of the application. For long sessions, once no result that reads one is needed."""
+    _remove(spark.sparkContext.applicationId)
+
+
 class Stash:
-    """Tables written to the shared folder to cut lineage: they outlive any executor. ``drop`` removes those no longer read."""
+    """Tables written to the shared folder to cut lineage: they outlive any executor. ``drop`` removes those no longer read, the
+    others go with the application (see :func:`release`)."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -71,9 +116,8 @@ class Stash:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = _hadoop(self.spark, path)
+            fs.delete(p, True)
 
 
 def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
