@@ -84,7 +84,7 @@ def _index_rows(index, spilled: bool):
             if not len(raw):
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)[mask]
-            x, vec = unit(raw).astype(np.float32), np.array(pack(raw), object)
+            x, vec = unit(raw).astype(np.float32), pack(raw)
             score = x @ i.centroids.T
             first = score.argmax(1)
             ways = [(np.arange(len(x)), first)]
@@ -103,7 +103,7 @@ def _index_rows(index, spilled: bool):
                     cell = centroid[at] * (2 * AXES) + axis
                 else:
                     at, cell = np.arange(len(rows)), centroid
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(ids[rows[at]]), pa.array([c.tobytes() for c in code[at]], pa.binary()), pa.array(list(vec[rows[at]]), pa.binary())], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(ids[rows[at]]), pa.array([c.tobytes() for c in code[at]], pa.binary()), vec.take(pa.array(rows[at]))], schema=_ROW)
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ontospark.llm import clusters, copies, leaks, mixing, neighbours, overlaps, reading
 from ontospark.runtime import table
 
@@ -11,7 +13,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: neighbours.similar_pairs(table(s, d, "entities")),
         "p1_nearest": lambda s, d: neighbours.nearest(table(s, d, "entities")),
         "p3_found": lambda s, d: clusters.cluster_members(table(s, d, "entities")),
-        "p3_clusters": lambda s, d: clusters.cluster_report(table(s, d, "entities")),
+        "p3_clusters": lambda s, d: clusters.cluster_report(table(s, d, "entities")).withColumn("typical", F.array_join(F.col("typical").cast("array<string>"), ",")),
         "p4_found": lambda s, d: overlaps.overlap_pairs(table(s, d, "entities")),
         "p4_report": lambda s, d: overlaps.overlap_report(table(s, d, "entities")),
         "p5_found": lambda s, d: copies.copy_links(table(s, d, "entities")),
@@ -68,8 +70,29 @@ WHERE reading_band IS NOT NULL
 """
 
 
+_CLUSTERS = """
+WITH RECURSIVE u AS (
+  SELECT id, CASE WHEN trim(coalesce(dataset, '')) = '' THEN 'default' ELSE lower(trim(dataset)) END AS g, CAST(embedding AS DOUBLE[]) AS e
+  FROM entities WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinite(x))) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT id, g, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS x FROM u),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id AND list_dot_product(a.x, b.x) >= 0.70),
+cc(node, low) USING KEY (node) AS (
+  SELECT id, id FROM v
+  UNION
+  (SELECT e.b, min(c.low) FROM cc c JOIN e ON e.a = c.node JOIN recurring.cc r ON r.node = e.b AND c.low < r.low GROUP BY e.b)),
+m AS (SELECT node AS id, low AS cluster_id, count(*) OVER (PARTITION BY low) AS n FROM cc QUALIFY n >= 5)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _CLUSTERS + "SELECT id, cluster_id FROM m",
+        "p3_clusters": _CLUSTERS + """,
+          d AS (SELECT v.id, g, cluster_id, n, list_transform(x, lambda y: abs(y)) AS s, list_max(s) AS depth, list_position(s, depth) AS axis, 2 * (axis - 1) + CAST(x[axis] < 0 AS INTEGER) AS home FROM v JOIN m USING (id)),
+          h AS (SELECT cluster_id, home, count(*) AS c FROM d GROUP BY ALL),
+          t AS (SELECT cluster_id, max(c) AS densest_n, arg_min(home, row(-c, home)) AS home FROM h GROUP BY cluster_id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY depth DESC, id) AS rank FROM d JOIN t USING (cluster_id, home) QUALIFY rank <= 3)
+          SELECT g AS dataset, cluster_id, max(n) AS n, max(densest_n) AS densest_n, array_to_string(list(id ORDER BY rank), ',') AS typical FROM r GROUP BY ALL""",
         "p4_found": _OVERLAPS + "SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM hit",
         "p4_report": _OVERLAPS + """SELECT s AS split, g AS dataset, count(*) AS records, count(q.e) AS overlapping, coalesce(sum(CAST(q.equal AS BIGINT)), 0)::BIGINT AS exact
           FROM w LEFT JOIN (SELECT e, bool_or(equal) AS equal FROM hit GROUP BY e) q ON w.id = q.e WHERE s IN ('test', 'dev') GROUP BY 1, 2""",

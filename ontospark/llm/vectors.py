@@ -35,12 +35,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(1, keepdims=True))
 
 
-def pack(x: np.ndarray) -> list[bytes]:
+def pack(x: np.ndarray) -> pa.Array:
     """Lossless bytes of each row: float16 where every value survives it, float32 otherwise."""
     with np.errstate(over="ignore"):
         half = x.astype(np.float16)
     exact = (half.astype(np.float32) == x).all(1)
-    return [(half[i] if e else x[i]).tobytes() for i, e in enumerate(exact)]
+    size = np.where(exact, half.itemsize, x.itemsize) * x.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = np.empty(offsets[-1], np.uint8)
+    for rows, part in ((np.flatnonzero(exact), half), (np.flatnonzero(~exact), x.astype(np.float32))):
+        if len(rows):
+            width = part.itemsize * part.shape[1]
+            data[offsets[rows][:, None] + np.arange(width)] = np.ascontiguousarray(part[rows]).view(np.uint8).reshape(len(rows), width)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def unpack(column: pa.Array, dim: int) -> np.ndarray:
@@ -64,14 +71,11 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def axis_cells(x: np.ndarray, rot: np.ndarray, spill: int) -> np.ndarray:
-    """The ``spill`` strongest signed axes of each rotated row, strongest first: the cells of a grid of directions."""
-    y = x @ rot
-    top = np.argpartition(-np.abs(y), spill - 1, axis=1)[:, :spill]
-    value = np.take_along_axis(y, top, 1)
-    order = np.argsort(-np.abs(value), axis=1, kind="stable")
-    top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-    return (2 * top + (value < 0)).astype(np.int32)
+def strongest_axes(y: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` signed axes on which each rotated row is strongest, in no order: a row's cell and the adjacent ones it nearly fell
+    into."""
+    top = np.argpartition(-np.abs(y), most - 1, axis=1)[:, :most]
+    return (2 * top + (np.take_along_axis(y, top, 1) < 0)).astype(np.int64)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -224,17 +228,20 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def link_to_leaders(x: np.ndarray, ids: np.ndarray, least: float, block: int = 1024, split: int = 0) -> np.ndarray:
-    """For each unit row the smallest position of its group: rows joined through pairs of cosine >= ``least``.
+def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
+    """For each unit row the smallest position of its group: rows of one label, and rows joined through pairs of cosine >= ``least``.
 
-    Every pair of rows is compared, block by block; with ``split`` only those of a row before it and one from it on. Scores are
-    float32 products, those within ``CLOSE`` of the threshold float64 ones. Returns positions.
+    ``label`` is ascending. Every pair of rows that is not joined yet is compared, block by block. Scores are float32 products, those
+    within ``CLOSE`` of the threshold float64 ones. Returns positions.
     """
     n, y = len(x), x.astype(np.float32)
-    root = np.arange(n)
-    for start in range(0, split or n, block):
-        stop = min(split or n, start + block)
-        for at in range(split or start, n, 4 * block):
+    root = np.searchsorted(label, label)
+    for start in range(0, n, block):
+        stop = min(n, start + block)
+        for at in range(start, n, 4 * block):
+            own, other = root[start:stop], root[at : at + 4 * block]
+            if (own == own[0]).all() and (other == own[0]).all():
+                continue  # all of one group already
             score = y[start:stop] @ y[at : at + 4 * block].T
             a, b = np.divmod(np.flatnonzero(score >= least - CLOSE), score.shape[1])
             near = score[a, b] < least + CLOSE
