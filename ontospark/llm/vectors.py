@@ -228,17 +228,18 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
+def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024, split: int = 0) -> np.ndarray:
     """For each unit row the smallest position of its group: rows of one label, and rows joined through pairs of cosine >= ``least``.
 
-    ``label`` is ascending. Every pair of rows that is not joined yet is compared, block by block. Scores are float32 products, those
-    within ``CLOSE`` of the threshold float64 ones. Returns positions.
+    Every pair of rows that is not joined yet is compared, block by block; with ``split`` only those of a row before it and one from it
+    on. Scores are float32 products, those within ``CLOSE`` of the threshold float64 ones. Returns positions.
     """
     n, y = len(x), x.astype(np.float32)
-    root = np.searchsorted(label, label)
-    for start in range(0, n, block):
-        stop = min(n, start + block)
-        for at in range(start, n, 4 * block):
+    _, first, code = np.unique(label, return_index=True, return_inverse=True)
+    root = first[code]
+    for start in range(0, split or n, block):
+        stop = min(split or n, start + block)
+        for at in range(split or start, n, 4 * block):
             own, other = root[start:stop], root[at : at + 4 * block]
             if (own == own[0]).all() and (other == own[0]).all():
                 continue  # all of one group already

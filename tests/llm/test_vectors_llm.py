@@ -49,7 +49,7 @@ def test_clusters_match_brute_force(spark):
 
 
 def test_clusters_of_copies_salts_and_nothing(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "STRIP", 40)
+    monkeypatch.setattr(clusters, "STRIP", 40), monkeypatch.setattr(clusters, "CELL", 80)
     x, _ = blobs(noise=20)
     same = np.repeat(x[:1], 150, axis=0)
     df = frame(spark, np.concatenate([same, x[1:60]]), ["a"] * 209)
@@ -71,7 +71,9 @@ def test_rows_alike_to_two_groups_join_them():
     x = np.array([turn(d) for d in (0, 80, 40, 110)])
     # 0 and 80 degrees are no alike pair; the third row, in a later block, is alike to both, the fourth to the second alone
     assert link_rows(x, np.arange(4), 0.7, block=2).tolist() == [0, 0, 0, 0]
+    assert link_rows(x, np.arange(4), 0.7, split=2).tolist() == [0, 0, 0, 0]
     assert link_rows(x[[0, 1, 3]], np.arange(3), 0.7).tolist() == [0, 1, 1]
+    assert link_rows(x[[0, 1, 3]], np.arange(3), 0.7, split=1).tolist() == [0, 1, 2]
 
 
 @pytest.mark.parametrize("axes", [1, 2])
@@ -89,10 +91,10 @@ def test_grids_see_pairs_at_the_threshold(axes):
     assert seen.mean() >= 0.99
 
 
-@pytest.mark.parametrize("rows", [1 << 15, 17])
-def test_chains_stay_whole(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows, cell", [(1 << 15, 1 << 17), (40, 160), (17, 34)])
+def test_chains_stay_whole(spark, monkeypatch, rows, cell):
     """Clusters that only a chain of pairs near the threshold holds together, over one strip and over many."""
-    monkeypatch.setattr(clusters, "STRIP", rows)
+    monkeypatch.setattr(clusters, "STRIP", rows), monkeypatch.setattr(clusters, "CELL", cell)
     rng, at, x = np.random.default_rng(4), [], []
     for chain in range(6):
         v = rng.standard_normal(128)
@@ -108,7 +110,7 @@ def test_chains_stay_whole(spark, monkeypatch, rows):
     first = {c: int(np.flatnonzero(at == c)[0]) + 1 for c in range(6)}
     got = {r.id: r.cluster_id for r in clusters.cluster_members(frame(spark, x, ["a"] * len(x))).collect()}
     want = {i + 1: first[c] for i, c in enumerate(at)}
-    if rows > len(x):
+    if cell > len(x):
         assert got == want
     else:  # a lost link breaks a chain; nothing joins two
         assert sum(got.get(i) == c for i, c in want.items()) >= 0.9 * len(want)
