@@ -91,17 +91,20 @@ def _members(df: DataFrame, id_col: str, text_col: str, split_col: str, group_co
     rows = df.select(F.col(id_col).cast("long").alias("id"), split.alias("split"), dataset_key(group_col).alias("dataset"), word_text(F.col(text_col)).alias("t"))
     rows = rows.filter("id is not null and length(t) > 0 and split in ('train', 'test', 'dev')")
     words = F.array_sort(F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.xxhash64(w)))
-    return rows.select("id", "split", "dataset", words.alias("ws")).withColumn("sig", F.xxhash64("ws", F.size("ws")))
+    return rows.select("id", "split", "dataset", words.alias("ws")).withColumns({"h": F.xxhash64("ws", F.size("ws")), "g": F.xxhash64(F.lit(7), "ws")})
 
 
 def set_links(df: DataFrame, id_col: str = "id", text_col: str = "text_description", split_col: str = "split_name", group_col: str = "dataset") -> tuple[DataFrame, DataFrame]:
-    """``(eval_sig, train_sig)`` links between the distinct word sets of both sides, and ``(id, split, dataset, sig)`` membership."""
+    """``(e_sig, t_sig)`` links between the distinct word sets of both sides, and ``(id, split, dataset, sig)`` membership.
+
+    Words are compared by 64-bit hashes; a set is known by two independent hashes of all of them, and its number ``sig`` is its own."""
     stash = Stash(df.sparkSession, "overlaps")
     rows = _members(df, id_col, text_col, split_col, group_col)
     sketch = F.expr("aggregate(ws, 0L, (x, w) -> x ^ shiftleft(1L, int(w & 63)))")
     members = stash.put(rows)
-    sets = members.groupBy("sig").agg(F.any_value("ws").alias("ws"), F.max(F.when(F.col("split") == "train", 1).otherwise(0)).alias("t"), F.max(F.when(F.col("split") != "train", 1).otherwise(0)).alias("e"))
-    sets = stash.put(sets.withColumns({"n": F.size("ws"), "bits": sketch}))
+    sets = members.groupBy("h", "g").agg(F.any_value("ws").alias("ws"), F.max(F.when(F.col("split") == "train", 1).otherwise(0)).alias("t"), F.max(F.when(F.col("split") != "train", 1).otherwise(0)).alias("e"))
+    # numbered once and written: the numbers stay
+    sets = stash.put(sets.withColumns({"n": F.size("ws"), "bits": sketch, "sig": F.monotonically_increasing_id()}))
     asked, base = sets.filter("e = 1 and n >= 4").selectExpr("sig as e_sig", "ws", "n as a", "bits as e_bits"), sets.filter("t = 1 and n >= 4").selectExpr("sig as t_sig", "ws", "n as b", "bits as t_bits")
     # evaluation side: segments i = 0..k, the longer ones last
     sized = asked.filter(F.col("a") <= SIZED).selectExpr("*", f"explode({_sizes('a', 'b')}) as size").selectExpr("*", f"{_k('a', 'size')} as k")
@@ -119,7 +122,7 @@ def set_links(df: DataFrame, id_col: str = "id", text_col: str = "text_descripti
     both = near.join(asked.select("e_sig", F.col("ws").alias("x"), "a"), "e_sig").join(base.select("t_sig", F.col("ws").alias("y"), "b"), "t_sig")
     linked = both.filter(_verify()(F.col("x"), F.col("y"), F.expr(_k("a", "b")))).select("e_sig", "t_sig")
     equal = sets.filter("e = 1 and t = 1").selectExpr("sig as e_sig", "sig as t_sig")
-    return stash.put(linked.unionByName(equal)), members.select("id", "split", "dataset", "sig")
+    return stash.put(linked.unionByName(equal)), members.select("id", "split", "dataset", "h", "g").join(sets.select("h", "g", "sig"), ["h", "g"]).select("id", "split", "dataset", "sig")
 
 
 def overlap_pairs(df: DataFrame, **options) -> DataFrame:
