@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontospark.runtime import dataset_key
+from ontospark.runtime import Stash, dataset_key
 
 #: Parts that a group of copies is dealt into when its ids are looked up.
 SALTS = 16
@@ -23,8 +23,8 @@ def _raw(df: DataFrame, id_col: str, text_col: str, group_col: str) -> DataFrame
 
 
 def _survivors(rows: DataFrame) -> DataFrame:
-    """Byte-identical rows of a dataset as one, with their number; only these are canonicalised."""
-    return rows.groupBy("grp", "text").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("least")).withColumn("key", canonical_text(F.col("text")))
+    """Byte-identical rows of a dataset as one, with their number, smallest and largest id; only these are canonicalised."""
+    return rows.groupBy("grp", "text").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).withColumn("key", canonical_text(F.col("text")))
 
 
 def collapsed_records(df: DataFrame, id_col: str = "id", text_col: str = "text_description", group_col: str = "dataset") -> DataFrame:
@@ -34,21 +34,19 @@ def collapsed_records(df: DataFrame, id_col: str = "id", text_col: str = "text_d
     compared trimmed in lower case, null and empty are ``default``. Rows repeated with their id count as copies. Both steps aggregate
     before they shuffle, so a record that holds a third of all rows moves as one row per task.
     """
-    raw = _raw(df, id_col, text_col, group_col).groupBy("grp", "text").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    same = raw.groupBy("grp", canonical_text(F.col("text")).alias("key"))
-    found = same.agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"), F.count("*").alias("variants"))
+    found = _survivors(_raw(df, id_col, text_col, group_col)).groupBy("grp", "key").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"), F.count("*").alias("variants"))
     return found.select(F.col("grp").alias("dataset"), "keep_id", "copies", "variants")
 
 
 def copy_links(df: DataFrame, id_col: str = "id", text_col: str = "text_description", group_col: str = "dataset") -> DataFrame:
     """``(keep_id, copy_id)``: the smallest id of each record and each other id of it; cases as in :func:`collapsed_records`."""
     rows = _raw(df, id_col, text_col, group_col)
-    raw = _survivors(rows)
-    groups = raw.groupBy("grp", "key").agg(F.min("least").alias("keep_id"), F.sum("ids").alias("copies")).filter("copies > 1").select("grp", "key", "keep_id")
-    spelt = raw.join(groups, ["grp", "key"]).select("grp", "text", "ids", "least", "keep_id")
-    single = spelt.filter("ids = 1").select("keep_id", F.col("least").alias("copy_id"))
+    raw = Stash(df.sparkSession, "copies").put(_survivors(rows))
+    groups = raw.groupBy("grp", "key").agg(F.min("least").alias("keep_id"), F.max("most").alias("last_id")).filter("keep_id <> last_id").select("grp", "key", "keep_id")
+    spelt = raw.join(groups, ["grp", "key"]).select("grp", "text", "least", "most", "keep_id")
+    single = spelt.filter("least = most").select("keep_id", F.col("least").alias("copy_id"))
     # spellings with several ids are looked up again, each dealt into SALTS parts
-    several = spelt.filter("ids > 1").select("grp", "text", "keep_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    several = spelt.filter("least <> most").select("grp", "text", "keep_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     others = dealt.join(several, ["grp", "text", "salt"]).select("keep_id", F.col("id").alias("copy_id")).distinct()
     return single.unionByName(others).filter("keep_id <> copy_id")
