@@ -1,8 +1,9 @@
 """Problem 7: evaluation passages inside training documents, by suffix arrays over shards of the corpus.
 
-Each task turns its documents into word numbers, keeps the suffixes that can match (their first ``least`` words all occur in some
-item), sorts them, and finds every suffix of every item by binary search; matches are then extended to their full length and
-compared byte by byte. Items are few and broadcast in blocks of bounded size; documents are never shuffled.
+Each task turns its documents into word numbers and sorts the suffixes that can match (they begin with words of items) by prefix doubling:
+ranks over 1, 2, 4, ... words, until the order holds for as many words as the longest item has. Every suffix of every item is looked up in
+that order by binary search; matches are then extended to their full length and compared byte by byte. Items are few and broadcast in
+blocks of bounded size; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontospark.runtime import Stash
+
 #: Bytes of text that one suffix array covers, and bytes of items that one pass broadcasts.
 SHARD, ITEM_BYTES = 4 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -55,54 +58,91 @@ class Words:
         return self.data[self.start[at] : self.end[at + words - 1]]
 
 
-def _keys(code: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    return np.ascontiguousarray(code[at[:, None] + np.arange(least)].astype(">u4")).view(f"S{4 * least}").ravel()
+class Suffixes:
+    """Ranks of word runs by prefix doubling: ``rank[p][i]`` orders the runs of ``p`` words that begin at ``i``, for powers ``p`` of two.
 
+    Word 0 stands for any word that no item has, and for what follows the end of a text; runs that hold one are rank 0.
+    """
 
-def _match(docs: Words, items: Words, vocabulary: np.ndarray, item_code: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    def __init__(self, code: np.ndarray, longest: int):
+        self.rank = {1: code}
+        p = 1
+        while p < longest:
+            now = self.rank[p]
+            after = np.concatenate([now[p:], np.zeros(min(p, len(now)), now.dtype)])[: len(now)]
+            both = np.flatnonzero((now > 0) & (after > 0))
+            new = np.zeros(len(now), np.int64)
+            if len(both):
+                new[both] = np.unique(now[both].astype(np.int64) * (int(after.max()) + 1) + after[both], return_inverse=True)[1] + 1
+            p *= 2
+            self.rank[p] = new
+
+    def keys(self, at: np.ndarray, words: int) -> np.ndarray:
+        """A number for the run of ``words`` words at each place, equal for equal runs and -1 where it holds a word 0."""
+        p = 1 << (words.bit_length() - 1)
+        one, two = self.rank[p][at], self.rank[p][np.minimum(at + words - p, len(self.rank[p]) - 1)]
+        return np.where((one > 0) & (two > 0), one * (int(self.rank[p].max()) + 1) + two, -1)
+
+    def order(self, at: np.ndarray) -> np.ndarray:
+        """``at`` as a suffix array: by the longest runs first told apart by the shortest."""
+        return at[np.lexsort([self.rank[p][at] for p in sorted(self.rank, reverse=True)])]
+
+
+def _match(docs: Words, items: Words, vocabulary: np.ndarray, item_code: np.ndarray, least: int, whole: bool) -> Iterator[tuple[int, int, int, int, int]]:
     """``(text, item, words, word in text, word in item)`` of each match that can't be made longer to the left."""
     n = len(docs.hash)
-    if n < least:
+    if not n or not len(item_code):
         return
     code = np.searchsorted(vocabulary, docs.hash)
-    code[vocabulary[np.minimum(code, len(vocabulary) - 1)] != docs.hash] = -1
-    code = np.where(code >= len(vocabulary), -1, code) + 1
-    stop = np.where(code > 0, n, np.arange(n))
-    stop = np.minimum.accumulate(stop[::-1])[::-1]
-    stop = np.minimum(stop, docs.last[docs.text])
-    at = np.flatnonzero(stop - np.arange(n) >= least)
-    if not len(at):
-        return
-    keys = _keys(code, at, least)
-    order = np.argsort(keys, kind="stable")  # the shard's suffix array
-    suffixes, keys = at[order], keys[order]
+    known = vocabulary[np.minimum(code, len(vocabulary) - 1)] == docs.hash
+    code = np.where(known, code + 1, 0)
+    # texts and items behind one another, a word 0 after each
+    gap = np.arange(n) + docs.text
+    far = n + int(docs.text[-1]) + 1
+    item_gap = far + np.arange(len(item_code)) + items.text
+    line = np.zeros(int(item_gap[-1]) + 2, np.int64)
+    line[gap], line[item_gap] = code, item_code
+    ends, size_of = items.last[items.text], items.last - items.first
     place = np.arange(len(item_code))
-    ends = items.last[items.text]
-    tests = place[ends - place >= least]
-    wanted = _keys(item_code, tests, least)
-    low, high = np.searchsorted(keys, wanted, side="left"), np.searchsorted(keys, wanted, side="right")
-    size = high - low
-    j = np.repeat(tests, size)
-    i = suffixes[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-    inner = (i > docs.first[docs.text[i]]) & (j > items.first[items.text[j]])
-    same = np.zeros(len(i), bool)
-    same[inner] = code[i[inner] - 1] == item_code[j[inner] - 1]
-    i, j = i[~same], j[~same]
-    length = np.full(len(i), least)
-    grow = np.arange(len(i))
-    while len(grow):
-        a, b = i[grow] + length[grow], j[grow] + length[grow]
-        inside = (a < docs.last[docs.text[i[grow]]]) & (b < ends[j[grow]])
-        grow, a, b = grow[inside], a[inside], b[inside]
-        grow = grow[code[a] == item_code[b]]
-        length[grow] += 1
-    for a, b, w in zip(i.tolist(), j.tolist(), length.tolist()):
-        if docs.piece(a, w) == items.piece(b, w):
-            d, t = int(docs.text[a]), int(items.text[b])
-            yield d, t, w, a - int(docs.first[d]), b - int(items.first[t])
-
-
-def _search(shared, least: int):
+    lengths = [least] + (sorted(set(size_of[(size_of > 0) & (size_of < least)].tolist())) if whole else [])
+    suffixes = Suffixes(line, max(least, min(int(size_of.max()), 64)))
+    for words in lengths:
+        tests = place[ends - place >= least] if words == least else items.first[size_of == words]
+        found = np.flatnonzero(code > 0)
+        found = found[(docs.last[docs.text[found]] - found >= words) & (suffixes.keys(gap[found], words) >= 0)]
+        if not len(found) or not len(tests):
+            continue
+        array = suffixes.order(gap[found])  # the shard's suffix array
+        keys = suffixes.keys(array, words)  # ascending along it, as its order is by words
+        back = np.empty(len(line), np.int64)
+        back[gap] = np.arange(n)
+        wanted = suffixes.keys(item_gap[tests], words)
+        if (np.diff(keys) < 0).any():
+            by = np.argsort(keys, kind="stable")
+            array, keys = array[by], keys[by]
+        low, high = np.searchsorted(keys, wanted, side="left"), np.searchsorted(keys, wanted, side="right")
+        size = high - low
+        j = np.repeat(tests, size)
+        i = back[array[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]]
+        inner = (i > docs.first[docs.text[i]]) & (j > items.first[items.text[j]])
+        same = np.zeros(len(i), bool)
+        same[inner] = code[i[inner] - 1] == item_code[j[inner] - 1]
+        i, j = i[~same], j[~same]
+        length = np.full(len(i), words)
+        grow = np.arange(len(i))
+        while len(grow):
+            a, b = i[grow] + length[grow], j[grow] + length[grow]
+            inside = (a < docs.last[docs.text[i[grow]]]) & (b < ends[j[grow]])
+            grow, a, b = grow[inside], a[inside], b[inside]
+            grow = grow[code[a] == item_code[b]]
+            length[grow] += 1
+        for a, b, w in zip(i.tolist(), j.tolist(), length.tolist()):
+            if docs.piece(a, w) == items.piece(b, w):
+                d, t = int(docs.text[a]), int(items.text[b])
+                yield d, t, w, a - int(docs.first[d]), b - int(items.first[t])
+
+
+def _search(shared, least: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_ids, item_texts = shared.value
         items = Words(item_texts)
@@ -110,7 +150,7 @@ def _search(shared, least: int):
         item_code = np.searchsorted(vocabulary, items.hash) + 1
 
         def flush(ids: list, texts: list) -> pa.RecordBatch:
-            hits = [(ids[d], item_ids[t], w, a, b) for d, t, w, a, b in _match(Words(texts), items, vocabulary, item_code, least)]
+            hits = [(ids[d], item_ids[t], w, a, b) for d, t, w, a, b in _match(Words(texts), items, vocabulary, item_code, least, whole)]
             return pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], f.type) for c, f in enumerate(_MATCH)], schema=_MATCH)
 
         ids, texts, size = [], [], 0
@@ -128,25 +168,28 @@ def _search(shared, least: int):
     return run
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, least: int = 8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, least: int = 8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", whole: bool = True) -> DataFrame:
     """``(doc_id, item_id, words, doc_at, item_at)``: the longest verbatim matches of at least ``least`` words and where they stand
     (word numbers from 0), compared by words in lower case.
 
-    Null ids and null texts are left out, empty texts and items of fewer words match nothing, whatever the length of a text it is
-    searched whole; repeated documents each come out. No item gives no rows. Only the named columns are read.
+    An item of fewer words matches as a whole (with ``whole``; else not at all). Null ids and null texts are left out, empty texts and
+    items match nothing, whatever the length of a text it is searched whole; repeated documents each come out. No item gives no rows. Only the named columns are read.
     """
     spark = docs.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), word_text(F.col(item_text)).alias("w")).filter("item_id is not null and length(w) > 0")
     size = asked.agg(F.sum(F.octet_length("w"))).first()[0] or 0
     blocks = 1 + size // ITEM_BYTES
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), word_text(F.col(text)).alias("w")).filter("doc_id is not null and length(w) > 0")
-    found = None
+    found, stash = None, Stash(spark, "leaks")
     for n in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).collect()
         if not part:
             continue
         shared = spark.sparkContext.broadcast(([r.item_id for r in part], [r.w.encode() for r in part]))
-        hits = corpus.mapInArrow(_search(shared, least), "doc_id long, item_id long, words int, doc_at int, item_at int")
+        hits = corpus.mapInArrow(_search(shared, least, whole), "doc_id long, item_id long, words int, doc_at int, item_at int")
+        if blocks > 1:  # one block's items at a time in the driver and the executors
+            hits = stash.put(hits)
+            shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, words int, doc_at int, item_at int")
 
