@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,10 @@ def token_counts(text: Column, tokenizers: str = TOKENIZERS, vocabulary: str = V
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = _encoder(path)
         for texts in parts:
-            yield texts.map(lambda t: len(enc.encode_ordinary(t)), na_action="ignore").astype("Int64")
+            # repeated texts of a batch are encoded once
+            code, once = pd.factorize(texts)
+            sizes = np.array([len(enc.encode_ordinary(t)) for t in once] + [0], np.int64)
+            yield pd.Series(sizes[code]).astype("Int64").mask(code < 0)
 
     return count(text)
 
@@ -61,7 +65,8 @@ class Mix:
 
     Texts: equal texts count as one, under the smallest id, so that none is used more than ``max_repeats`` times under other ids;
     null and empty texts, null ids and texts whose source has no target are left out. Total size: without ``total_tokens`` the
-    largest at which every source reaches its share within its repeats (sources without any text are left aside); with it, a
+    largest at which every source reaches its share within its repeats, so the scarcest source sets the size of the whole mixture
+    (sources without any text or with ``max_repeats`` below 1 give nothing and are left aside); with it, a
     source that can't reach its share gives all it has, ``max_repeats`` times, and the report shows the shares reached. Sampling:
     expected copies are equal within a source; they are summed in a fixed random order, one random offset is added, and a text comes
     out once for each whole number its interval crosses, so never more than ``max_repeats`` times. Repeated target rows: the largest
@@ -83,13 +88,18 @@ class Mix:
         self.texts = stash.put(once)
         sizes = self.texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
         plan = goal.join(sizes, "source", "left").fillna(0, ["tokens", "docs"])
-        reach = plan.filter("tokens > 0 and target_share > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0]
+        reach = plan.filter("tokens > 0 and target_share > 0 and max_repeats > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0]
         self.total = float(total_tokens if total_tokens is not None else reach or 0.0)
         want = F.lit(self.total) * F.col("target_share")
+        # one row per target
         rate = F.when((F.col("tokens") > 0) & (F.col("max_repeats") > 0), F.least(F.col("max_repeats").cast("double"), want / F.greatest("tokens", F.lit(1)))).otherwise(0.0)
         self.plan = stash.put(plan.withColumn("rate", rate).coalesce(1))
         self.seed = seed
 
+    def sources(self) -> DataFrame:
+        """``(source, target_share, max_repeats, docs)``: the targets and the distinct texts that each has to draw from."""
+        return self.plan.select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats"), "docs")
+
     def picks(self) -> DataFrame:
         """``(source, doc_id, tokens, copies)``: the texts drawn and how often each."""
         plan = F.broadcast(self.plan.select("source", "rate", "docs", "max_repeats"))  # one row per target, bounded when the goals were read

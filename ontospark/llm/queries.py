@@ -18,9 +18,11 @@ def queries() -> dict:
         "p4_report": lambda s, d: overlaps.overlap_report(table(s, d, "entities")),
         "p5_found": lambda s, d: copies.copy_links(table(s, d, "entities")),
         "p5_records": lambda s, d: copies.collapsed_records(table(s, d, "entities")),
-        "p7_found": lambda s, d: leaks.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
+        "p7_found": lambda s, d: leaks.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items"), whole=False).select("doc_id", "item_id").distinct(),
+        "p7_clean": lambda s, d: leaks.without_leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "n_chars"),
         "p7_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_mix": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).picks(),
+        "p8_sources": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).sources(),
         "p8_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
         "p9_found": lambda s, d: reading.reading_bands(table(s, d, "documents")),
         "p9_profile": lambda s, d: reading.reading_profile(table(s, d, "documents")),
@@ -58,6 +60,21 @@ h AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 7], ' ') AS p FROM (SELECT
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (p)
 """
 
+# runs of eight words, put together where both move on by one word; an item of fewer words as a whole
+_LEAKS_LONG = r"""
+WITH i AS (
+  SELECT item_id, regexp_split_to_array(trim(regexp_replace(lower(item_text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),
+g AS (SELECT item_id, s, array_to_string(w[s:s + 7], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - 6)) AS s FROM i)),
+d AS (
+  SELECT doc_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, s AS t, array_to_string(w[s:s + 7], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - 6)) AS s FROM d)),
+x AS (SELECT doc_id, item_id, s, t, t - row_number() OVER (PARTITION BY doc_id, item_id, t - s ORDER BY t) AS run FROM g JOIN h USING (p)),
+m AS (
+  SELECT doc_id, item_id, count(*) + 7 AS words FROM x GROUP BY doc_id, item_id, t - s, run
+  UNION ALL
+  SELECT doc_id, item_id, len(i.w) FROM i JOIN d ON len(i.w) < 8 AND i.w[1] <> '' AND contains(concat(' ', array_to_string(d.w, ' '), ' '), concat(' ', array_to_string(i.w, ' '), ' ')))
+"""
+
 _BANDS = r"""
 WITH d AS (
   SELECT doc_id, text, len(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS n,
@@ -99,5 +116,11 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _RECORDS + "SELECT keep_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY g, key) AS keep_id FROM k) WHERE id <> keep_id",
         "p5_records": _RECORDS + "SELECT g AS dataset, min(id) AS keep_id, count(*) AS copies, count(DISTINCT t) AS variants FROM k GROUP BY g, key",
         "p7_found": _LEAKS,
+        "p7_report": _LEAKS_LONG + "SELECT item_id, count(DISTINCT doc_id) AS docs, max(words) AS longest FROM m GROUP BY item_id",
+        "p7_clean": _LEAKS_LONG + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m)",
+        "p8_sources": """WITH g AS (SELECT lower(trim(source)) AS source, max(target_share) AS target_share, max(max_repeats)::BIGINT AS max_repeats FROM mix_targets GROUP BY 1),
+          t AS (SELECT text, arg_min(s, doc_id) AS source FROM (SELECT doc_id, text, regexp_replace(lower(trim(source)), '[- ]', '_', 'g') AS s FROM documents WHERE length(text) > 0)
+            WHERE s IN (SELECT source FROM g) GROUP BY text)
+          SELECT g.source, target_share, max_repeats, count(text) AS docs FROM g LEFT JOIN t USING (source) GROUP BY ALL""",
         "p9_found": _BANDS,
     }

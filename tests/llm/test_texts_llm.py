@@ -25,7 +25,7 @@ def entities(spark, rows):
 def test_overlaps_match_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
-    base = [rng.sample(vocab, rng.choice([1, 2, 3, 4, 5, 8, 12, 20, 35, 60, 64, 66, 90, 150])) for _ in range(1500)]
+    base = [rng.sample(vocab, rng.choice([1, 2, 3, 4, 5, 8, 12, 20, 35, 60, 64, 66, 90, 150])) for _ in range(120)]
     rows = []
     for i in range(500):
         w = list(rng.choice(base))
@@ -96,13 +96,18 @@ def test_leaks_match_brute_force(spark, monkeypatch, shard):
         rows.append((d, ". ".join(w).upper() if d % 2 else " ".join(w), "en", "s"))
     rows += [(500, None, "en", "s"), (501, "", "en", "s"), (502, items_text, "en", "s"), (503, " ".join(vocab * 4000) + " " + items[3][1], "en", "s"), (None, items[3][1], "en", "s"), rows[0]]
     df, it = docs(spark, rows), spark.createDataFrame([(*i, "z") for i in items], ITEMS)
-    found = leaks.leaked_passages(df, it).collect()
+    found = leaks.leaked_passages(df, it, whole=False).collect()
     want = brute_leaks([(r[0], r[1]) for r in rows if r[0] is not None], items)
     assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 12
     text = {r[0]: words(r[1] or "") for r in rows}
+    blocks = leaks.leaked_passages(df, it.withColumn("item_text", F.col("item_text")), whole=False)
+    monkeypatch.setattr(leaks, "ITEM_BYTES", 600)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, leaks.leaked_passages(df, it, whole=False).collect()))
     for r in found[:200]:
         assert text[r.doc_id][r.doc_at : r.doc_at + r.words] == words(dict(items)[r.item_id])[r.item_at : r.item_at + r.words]
-    assert leaks.without_leaks(df, it).count() == len(rows) - sum(r[0] in {d for d, _ in want} for r in rows)
+    longer = want | {(d, i) for d, w in text.items() if d is not None for i, t in items for x in [words(t or "")] if 0 < len(x) < 8 and any(w[s : s + len(x)] == x for s in range(len(w)))}
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_passages(df, it).collect()} == longer > want
+    assert leaks.without_leaks(df, it).count() == len(rows) - sum(r[0] in {d for d, _ in longer} for r in rows)
     assert leaks.leaked_passages(df.limit(0), it).count() == 0 == leaks.leaked_passages(df, it.limit(0)).count()
 
 
