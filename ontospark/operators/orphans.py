@@ -1,66 +1,114 @@
 """Problem 2: references to records that do not exist at the time of the reference.
 
-Keys are integers (texts by a collision-free dictionary, ids as they are). Availability and references become compressed bitmaps: a
-container holds 64 months of one key, absent containers are empty. ``reference AND NOT parent`` leaves the (key, month) bits whose
-month is not wholly covered; only references behind a surviving bit are compared with the exact intervals, which settles the months
-in which a record appears or goes.
+Keys are integers (ids as they are, texts by a hash that a second one has shown free of collisions on the very data) and dealt into key ranges. In each
+range they are numbered by a dictionary of its own, and for each month two compressed bitmaps are built over these numbers: the keys that
+references name, and the keys that are available throughout the month. ``reference AND NOT available`` is taken container by container and
+the surviving bits decoded. Only references behind a surviving bit are compared with exact times, of which a key and month have at most
+two that matter, and the records that live within a month.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontospark.functions.text import term_key
-from ontospark.runtime import Stash
+from ontospark.runtime import Stash, checked_broadcast
 
-#: Parts that a key's references are dealt into when they meet its record, so that a key named by a third of all rows is split.
-SALTS = 16
-_ALL = -1  # 64 set bits
+#: Rows of (key, month) and spans that one key range holds on average; a container's bits, and up to how many are kept as a list.
+RANGE_ROWS, CONTAINER, LISTED = 1 << 16, 1 << 16, 4096
+#: References of one key and month beyond which they are dealt into parts of so many.
+HOT_ROWS = 100_000
 
 
 def _month(at: Column) -> Column:
-    """Months since year 0, so that containers never mix two keys' periods."""
+    """Months since year 0."""
     return F.year(at) * 12 + F.month(at)
 
 
-def _from(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(_ALL).cast("long"), bit.cast("int"))
-
-
-def _upto(bit: Column) -> Column:
-    """Bits 0..bit-1, bit in 0..64."""
-    low = F.call_function("shiftrightunsigned", F.lit(_ALL).cast("long"), (64 - bit).cast("int"))
-    return F.when(bit <= 0, F.lit(0).cast("long")).when(bit >= 64, F.lit(_ALL).cast("long")).otherwise(low)
-
-
-def availability_bitmaps(spans: DataFrame, low: int, high: int) -> DataFrame:
-    """``(key, block, have)`` from ``(key, since, until)``: months wholly inside a span, as 64-bit containers ``low`` to ``high``."""
-    first = _month(F.col("since")) + F.when(F.col("since") > F.date_trunc("month", "since"), 1).otherwise(0)
-    end = F.coalesce(_month(F.col("until")), F.lit(64 * (high + 1)))  # exclusive
-    wide = spans.select("key", F.greatest(first, F.lit(64 * low)).alias("a"), F.least(end, F.lit(64 * (high + 1))).alias("b")).filter("a < b")
-    cut = wide.select("key", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 64), F.floor((F.col("b") - 1) / 64))).alias("block"))
-    lo, hi = F.col("a") - F.col("block") * 64, F.col("b") - F.col("block") * 64
-    bits = _from(F.greatest(lo, F.lit(0))).bitwiseAND(_upto(hi))
-    return cut.select("key", F.col("block").cast("long").alias("block"), bits.alias("bits")).groupBy("key", "block").agg(F.bit_or("bits").alias("have"))
+def compressed(bits: np.ndarray) -> np.ndarray:
+    """A container of the set bits: their positions while they are few, packed bits otherwise."""
+    at = np.flatnonzero(bits)
+    return at.astype(np.uint16) if len(at) <= LISTED else np.packbits(np.concatenate([bits, np.zeros(CONTAINER - len(bits), bool)]))
+
+
+def and_not(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Positions that are set in the first container and not in the second."""
+    listed_one, listed_two = one.dtype == np.uint16, two.dtype == np.uint16
+    if listed_one:
+        gone = np.isin(one, two) if listed_two else (two[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & 1 == 1
+        return one[~gone]
+    left = np.unpackbits(one).astype(bool) if listed_two else np.unpackbits(one & ~two).astype(bool)
+    if listed_two:
+        left[two] = False
+    return np.flatnonzero(left)
+
+
+_OPEN = pa.schema([("key", pa.int64()), ("month", pa.int32())])
+
+
+def _open_bits(t: pa.Table) -> pa.Table:
+    """``(key, month)`` of references (rows without ``until``) whose key is not available throughout the month (rows with both ends)."""
+    key, month = t.column("key").to_numpy(), t.column("month").to_numpy()
+    until = t.column("until").to_numpy(zero_copy_only=False)
+    asked = np.isnan(until.astype(float))
+    found = []
+    names, code = np.unique(key, return_inverse=True)
+    low, high = int(month[asked].min(initial=1 << 30)), int(month[asked].max(initial=-1))
+    span = max(0, high - low + 1)
+    for first in range(0, len(names) if span else 0, CONTAINER):
+        own = (code >= first) & (code < first + CONTAINER)
+        size = min(CONTAINER, len(names) - first)
+        change = np.zeros((span + 1, size), np.int32)
+        rows = own & ~asked
+        begin, end = np.clip(month[rows] - low, 0, span), np.clip(until[rows].astype(np.int64) - low, 0, span)
+        np.add.at(change, (begin, code[rows] - first), 1)
+        np.add.at(change, (end, code[rows] - first), -1)
+        have = np.cumsum(change[:-1], axis=0) > 0
+        want = np.zeros((span, size), bool)
+        want[month[own & asked] - low, code[own & asked] - first] = True
+        for m in range(span):
+            at = and_not(compressed(want[m]), compressed(have[m]))
+            found.append((names[first + at.astype(np.int64)], np.full(len(at), low + m, np.int32)))
+    if not found:
+        return _OPEN.empty_table()
+    return pa.table([pa.array(np.concatenate([f[c] for f in found])) for c in range(2)], schema=_OPEN)
 
 
 def _settle(refs: DataFrame, spans: DataFrame, stash: Stash) -> DataFrame:
     """The references ``(tbl, ref_key, side, key, at)`` without a span of their key that holds ``at``."""
-    month = _month(F.col("at"))
-    placed = refs.withColumns({"block": F.floor(month / 64), "bit": F.pmod(month, F.lit(64)).cast("int")})
-    asked = placed.groupBy("key", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("want"))
-    edge = asked.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
-    have = availability_bitmaps(spans, edge.low or 0, edge.high or 0)
-    left = asked.join(have, ["key", "block"], "left").select("key", "block", F.col("want").bitwiseAND(F.bitwise_not(F.coalesce("have", F.lit(0).cast("long")))).alias("open")).filter("open <> 0")
-    # decode: the references whose bit survived; a container named by very many references meets them in SALTS parts
-    dealt = left.select("key", "block", "open", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    doubt = placed.withColumn("salt", F.pmod(F.xxhash64("ref_key", "side"), F.lit(SALTS)).cast("int")).join(dealt, ["key", "block", "salt"])
-    doubt = stash.put(doubt.filter(F.expr("shiftright(open, bit) & 1") == 1).select("tbl", "ref_key", "side", "key", "at", "salt"))
-    # exact check of these, against spans of their keys only; the spans are dealt out likewise
-    near = spans.join(doubt.select("key").distinct(), "key", "left_semi").select("key", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    inside = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
-    return doubt.alias("d").join(near.alias("s"), (F.col("d.key") == F.col("s.key")) & (F.col("d.salt") == F.col("s.salt")) & inside, "left_anti").select("tbl", "ref_key", "side", "at")
+    placed = refs.withColumn("month", _month(F.col("at")).cast("int"))
+    asked = stash.put(placed.groupBy("key", "month").agg(F.count("*").alias("n")))
+    edge = asked.agg(F.min("month").alias("low"), F.max("month").alias("high"), F.count("*").alias("n")).first()
+    low, high = edge.low or 0, edge.high or 0
+    # months wholly inside a span
+    began, ended = _month(F.col("since")), _month(F.col("until"))
+    first = began + F.when(F.col("since") > F.date_trunc("month", "since"), 1).otherwise(0)
+    wide = spans.select("key", F.greatest(first, F.lit(low)).cast("int").alias("month"), F.least(F.coalesce(ended, F.lit(high + 1)), F.lit(high + 1)).cast("int").alias("until")).filter("month < until").distinct()
+    both = asked.select("key", "month", F.lit(None).cast("int").alias("until")).unionByName(wide)
+    ranges = -(-2 * edge.n // RANGE_ROWS) or 1
+    left = both.groupBy(F.pmod(F.xxhash64("key"), F.lit(ranges))).applyInArrow(_open_bits, "key long, month int")
+    # decode: the references whose bit survived; those of a very frequent key and month in parts
+    left = stash.put(left.join(asked, ["key", "month"]).select("key", "month", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
+    hot = checked_broadcast(left.filter("parts > 1"), 32)  # at most references / HOT_ROWS rows
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ref_key", "side"), F.col("parts"))).cast("int")
+    dealt = left.select("key", "month", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    doubt = placed.join(hot, ["key", "month"], "left").withColumn("salt", salt).drop("parts").join(dealt, ["key", "month", "salt"])
+    # exact times: in the month in which spans begin the earliest, in that in which they end the latest
+    kind = spans.schema["since"].dataType
+    lasting = F.col("until").isNull() | (ended > began)
+    begins = spans.filter(lasting).groupBy("key", began.cast("int").alias("month")).agg(F.min("since").alias("from"), F.lit(None).cast(kind).alias("upto"))
+    ends = spans.filter(ended > began).groupBy("key", ended.cast("int").alias("month")).agg(F.lit(None).cast(kind).alias("from"), F.max("until").alias("upto"))
+    edges = begins.unionByName(ends).groupBy("key", "month").agg(F.min("from").alias("from"), F.max("upto").alias("upto"))
+    edges = edges.join(dealt, ["key", "month"])
+    inside = F.coalesce(F.col("at") >= F.col("from"), F.lit(False)) | F.coalesce(F.col("at") < F.col("upto"), F.lit(False))
+    doubt = stash.put(doubt.join(edges, ["key", "month", "salt"], "left").filter(~inside).select("tbl", "ref_key", "side", "key", "at", "month", "salt"))
+    # records that live within one month
+    short = spans.filter((ended == began) & (F.col("until") > F.col("since"))).select("key", began.cast("int").alias("month"), "since", "until").distinct().join(dealt, ["key", "month"])
+    on = F.expr("d.key = s.key and d.month = s.month and d.salt = s.salt and d.at >= s.since and d.at < s.until")
+    return doubt.alias("d").join(short.alias("s"), on, "left_anti").select("tbl", "ref_key", "side", "at")
 
 
 def _dictionary(stash: Stash, wanted: DataFrame) -> DataFrame:
@@ -69,8 +117,10 @@ def _dictionary(stash: Stash, wanted: DataFrame) -> DataFrame:
 
 
 def _unique_code(texts: DataFrame):
+    """A 64-bit hash under which no two of the texts share a code, as a second, independent hash tells; None if 16 seeds all fail."""
     for seed in range(42, 58):
-        if texts.groupBy(F.xxhash64("text", F.lit(seed)).alias("k")).agg(F.count_distinct("text").alias("n")).filter("n > 1").limit(1).count() == 0:
+        by = texts.groupBy(F.xxhash64("text", F.lit(seed)).alias("k")).agg(F.min(F.xxhash64(F.lit(seed), "text")).alias("a"), F.max(F.xxhash64(F.lit(seed), "text")).alias("b"))
+        if by.filter("a <> b").limit(1).count() == 0:
             return lambda text, s=seed: F.xxhash64(text, F.lit(s))
     return None
 
