@@ -1,10 +1,11 @@
 """Problem 6: parent-child links to full hierarchies with weighted disjoint-set forests.
 
-Nodes are encoded as 64-bit hashes, proven free of collisions before use. Only nodes that have both a parent and a child need a
+Nodes are encoded as 64-bit hashes, which a second hash has shown free of collisions before use. Only nodes that have both a parent and a child need a
 forest; leaves look their parent up at the end. The forest is a table ``(c, top, off, loop)``: from ``c`` it is ``off`` links up to
-``top``. Groups of bounded size are compressed inside one task each (unions with root offsets); where more than one group is needed,
-the groups' forests are merged by joins that double the links covered in each round, until every node has its root or proves to lie on
-or below a loop.
+``top``. Links are dealt into groups and compressed inside one task each (unions with root offsets). Groups are merged level by level: only
+nodes at which entries of other groups end go up, are dealt into fewer groups and compressed again, until one small group is left that finds
+roots and loops; then each level looks its tops up in the one above. Where a level hardly shrinks (long bare chains), joins double the links
+covered instead.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from ontospark.functions.text import term_key
 from ontospark.runtime import Stash, checked_broadcast
 
-#: Inner nodes that one task compresses (24 bytes each).
-TASK_NODES = 1 << 20
+#: Inner nodes that one task compresses (24 bytes each), and those that make up the last group.
+TASK_NODES, LAST_NODES = 1 << 20, 1 << 16
+#: Groups of a level at least, and the share of its nodes that may go up.
+GROUPS, SHRINK = 16, 0.7
 CYCLE = "(cycle)"
 
 _FOREST = pa.schema([("c", pa.int64()), ("top", pa.int64()), ("off", pa.int64()), ("loop", pa.bool_())])
@@ -52,15 +55,23 @@ def term_links(df: DataFrame, child: str = "child", parent: str = "parent", orde
 
 
 def _encoder(links: DataFrame):
-    """A hash seed under which no two texts share a code."""
-    nodes = links.select(F.col("child").alias("t")).unionByName(links.select(F.col("parent").alias("t"))).distinct()
+    """A hash under which no two texts share a code, as a second, independent hash tells."""
+    nodes = links.select(F.explode(F.array("child", "parent")).alias("t"))
     for seed in range(42, 58):
         code = lambda text, s=seed: F.xxhash64(text, F.lit(s))
-        if nodes.groupBy(code(F.col("t")).alias("k")).count().filter("count > 1").limit(1).count() == 0:
+        by = nodes.groupBy(code(F.col("t")).alias("k")).agg(F.min(F.xxhash64(F.lit(seed), "t")).alias("a"), F.max(F.xxhash64(F.lit(seed), "t")).alias("b"))
+        if by.filter("a <> b").limit(1).count() == 0:
             return code
     raise RuntimeError("no hash seed without collisions")
 
 
+def _continued(forest: DataFrame, above: DataFrame) -> DataFrame:
+    """Each entry followed on by the one that ``above`` has for its top."""
+    up = above.select(F.col("c").alias("n"), F.col("top").alias("up"), F.col("off").alias("more"), F.col("loop").alias("round"))
+    step = forest.join(up, (F.col("top") == F.col("n")) & ~F.col("loop"), "left")
+    return step.select("c", F.coalesce("up", "top").alias("top"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("loop") | F.coalesce("round", F.lit(False))).alias("loop"))
+
+
 class Hierarchy:
     """Roots, depths, paths and descendants over ``(child, parent)`` links with one parent per child.
 
@@ -69,25 +80,38 @@ class Hierarchy:
     an ordinary row here: links meet it in a join, never in a group.
     """
 
-    def __init__(self, links: DataFrame, task_nodes: int = TASK_NODES):
+    def __init__(self, links: DataFrame, task_nodes: int = TASK_NODES, last_nodes: int = LAST_NODES):
         self.spark = links.sparkSession
         self.stash = Stash(self.spark, "hierarchy")
         links = self.stash.put(links.select("child", "parent"))
         self.code: Column = _encoder(links)
         self.links = links.select("child", "parent", self.code(F.col("child")).alias("c"), self.code(F.col("parent")).alias("p"))
         parents = self.links.select(F.col("p").alias("c")).distinct()
-        inner = self.stash.put(self.links.select("c", "p").join(parents, "c", "left_semi").select("c", F.col("p").alias("top"), F.lit(1).cast("long").alias("off"), F.lit(False).alias("loop")))
-        groups = -(-inner.count() // task_nodes)
-        if groups == 0:
-            self.forest = inner
-            return
-        self.forest = self.stash.put(inner.groupBy(F.pmod(F.xxhash64("c"), F.lit(groups))).applyInArrow(_compress, "c long, top long, off long, loop boolean"))
-        if groups > 1:
-            self._merge()
-
-    def _merge(self) -> None:
+        inner = self.links.select("c", "p").join(parents, "c", "left_semi").select("c", F.col("p").alias("top"), F.lit(1).cast("long").alias("off"), F.lit(False).alias("loop"))
+        self.forest = self._merged(self.stash.put(inner), task_nodes, last_nodes)
+
+    def _merged(self, now: DataFrame, task_nodes: int, last_nodes: int) -> DataFrame:
+        levels = []
+        while True:
+            n = now.count()
+            groups = 1 if n <= last_nodes else max(GROUPS, -(-n // task_nodes))
+            local = self.stash.put(now.groupBy(F.pmod(F.xxhash64("c", F.lit(len(levels))), F.lit(groups))).applyInArrow(_compress, "c long, top long, off long, loop boolean"))
+            if groups == 1:
+                break
+            ends = local.filter("not loop").select(F.col("top").alias("k")).distinct()
+            now = self.stash.put(local.join(ends, F.col("c") == F.col("k"), "left_semi"))
+            if now.count() > SHRINK * n:
+                local = self._doubled(local)
+                break
+            levels.append(local)
+        for level in reversed(levels):
+            new = self.stash.put(_continued(level, local))
+            self.stash.drop(local)
+            local = new
+        return local
+
+    def _doubled(self, forest: DataFrame) -> DataFrame:
         """Doubles the links that every entry covers until all entries end; entries that still go on then lie on or below a loop."""
-        forest = self.forest
         open_before = None
         while True:
             nodes = forest.select(F.col("c").alias("n"))
@@ -95,16 +119,13 @@ class Hierarchy:
             if still == 0 or still == open_before:
                 break
             open_before = still
-            up = forest.select(F.col("c").alias("n"), F.col("top").alias("up"), F.col("off").alias("more"), F.col("loop").alias("round"))
-            step = forest.join(up, (F.col("top") == F.col("n")) & ~F.col("loop"), "left")
-            step = step.select("c", F.coalesce("up", "top").alias("top"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("loop") | F.coalesce("round", F.lit(False))).alias("loop"))
-            new = self.stash.put(step)
+            new = self.stash.put(_continued(forest, forest))
             self.stash.drop(forest)
             forest = new
         if still:
             nodes = forest.select(F.col("c").alias("n"), F.lit(True).alias("on"))
             forest = self.stash.put(forest.join(nodes, F.col("top") == F.col("n"), "left").select("c", "top", "off", (F.col("loop") | F.coalesce("on", F.lit(False))).alias("loop")))
-        self.forest = forest
+        return forest
 
     def nodes(self) -> DataFrame:
         """``(node, root, depth)`` for every child."""
@@ -116,19 +137,23 @@ class Hierarchy:
         return named.select(F.col("child").alias("node"), F.when(F.col("loop"), CYCLE).otherwise(F.col("name")).alias("root"), F.when(F.col("loop"), F.lit(-1)).otherwise(F.col("d")).cast("long").alias("depth"))
 
     def loops(self) -> DataFrame:
-        """``(node, parent)``: the links that lie on a loop, not those below one."""
-        bad = self.links.join(self.forest.filter("loop").select(F.col("c").alias("k")), F.col("p") == F.col("k"), "left_semi").select("child", "parent", "c", "p")
+        """``(node, parent)``: the links that lie on a loop, not those below one.
+
+        Every node on or below a loop leads, after as many links as it lies below, to a node on the loop. Walks are doubled until the
+        nodes they end at no longer grow fewer: these are then the loops' nodes.
+        """
+        bad = self.links.join(self.forest.filter("loop").select(F.col("c").alias("k")), F.col("c") == F.col("k"), "left_semi").select("child", "parent", "c", "p")
         bad = self.stash.put(bad)
-        size = bad.count()
-        while True:  # strip nodes without a child until only the loops are left
-            keep = bad.join(bad.select(F.col("p").alias("k")).distinct(), F.col("c") == F.col("k"), "left_semi")
-            new = self.stash.put(keep)
-            left = new.count()
-            self.stash.drop(bad)
-            bad = new
-            if left == size:
-                return bad.select(F.col("child").alias("node"), "parent")
-            size = left
+        walk, before = bad.select("c", F.col("p").alias("to")), None
+        while True:
+            ends = walk.select("to").distinct()
+            size = ends.count()
+            if size == before:
+                return bad.join(ends.select(F.col("to").alias("k")), F.col("c") == F.col("k"), "left_semi").select(F.col("child").alias("node"), "parent")
+            before = size
+            new = self.stash.put(walk.join(walk.select(F.col("c").alias("k"), F.col("to").alias("on")), F.col("to") == F.col("k")).select("c", F.col("on").alias("to")))
+            self.stash.drop(walk)
+            walk = new
 
     def paths(self) -> DataFrame:
         """``(node, path, depth)``: the texts from the root to each acyclic child. Inner nodes' paths are put together by doubling."""

@@ -73,5 +73,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _OPEN + "SELECT DISTINCT tbl, ref_key, side FROM found",
         "p2_report": _OPEN + "SELECT tbl, strftime(t, '%Y-%m') AS month, side, count(*) AS orphans FROM found GROUP BY ALL",
         "p6_found": _TREE + "SELECT node, root, depth FROM walk UNION ALL SELECT c, '(cycle)', -1 FROM links WHERE c NOT IN (SELECT node FROM walk)",
+        "p6_loops": _TREE + """, bad AS (SELECT * FROM links WHERE c NOT IN (SELECT node FROM walk)),
+          far AS (SELECT c AS s, p AS t FROM bad UNION SELECT s, bad.p FROM far JOIN bad ON bad.c = far.t)
+          SELECT c AS node, p AS parent FROM bad WHERE EXISTS (SELECT 1 FROM far WHERE s = bad.c AND t = bad.c)""",
+        "p6_descendants": _TREE + """, up AS (
+            SELECT p AS node, c AS descendant, CAST(1 AS BIGINT) AS distance FROM links WHERE c IN (SELECT node FROM walk)
+            UNION ALL SELECT l.p, up.descendant, up.distance + 1 FROM up JOIN links l ON l.c = up.node)
+          SELECT node, descendant, distance FROM up""",
         "p6_paths": _TREE + "SELECT node, path, depth FROM walk",
     }
