@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from ontospark.operators import hierarchy
+from ontospark.operators import orphans as orphans_of
 from ontospark.operators.components import connected_components
 from ontospark.operators.hierarchy import Hierarchy, term_links
-from ontospark.operators.orphans import orphan_references, orphan_report
+from ontospark.operators.orphans import and_not, compressed, orphan_references, orphan_report
 
 T0 = dt.datetime(2020, 1, 1)
 ENT = "id long, text_description string, added_at timestamp_ntz, deleted_at timestamp_ntz, side string, key long"
@@ -78,13 +80,14 @@ def brute(par):
     return out
 
 
-@pytest.mark.parametrize("task_nodes", [1 << 20, 7])
-def test_hierarchy_matches_brute_force(spark, task_nodes):
+@pytest.mark.parametrize("task_nodes, last_nodes, shrink", [(1 << 20, 1 << 16, 0.7), (40, 30, 2.0), (7, 5, 0.0)])
+def test_hierarchy_matches_brute_force(spark, monkeypatch, task_nodes, last_nodes, shrink):
+    monkeypatch.setattr(hierarchy, "SHRINK", shrink)
     rng = random.Random(5)
     par = {f"n{i}": f"n{rng.randrange(max(1, i // 2), i)}" for i in range(2, 300)}
     par |= {f"deep{i}": f"deep{i - 1}" for i in range(1, 90)}
     par |= {"a": "b", "b": "c", "c": "a", "below": "a", "low": "below", "self": "self"} | {f"leaf{i}": "deep3" for i in range(50)}
-    h = tree(spark, list(par.items()), task_nodes=task_nodes)
+    h = tree(spark, list(par.items()), task_nodes=task_nodes, last_nodes=last_nodes)
     want = brute(par)
     assert {r.node: (r.root, r.depth) for r in h.nodes().collect()} == want
     assert {r.node for r in h.loops().collect()} == {"a", "b", "c", "self"}
@@ -113,5 +116,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_containers():
+    rng = np.random.default_rng(1)
+    for size in (10, 5000, 65536):
+        for a, b in ((0.001, 0.9), (0.9, 0.001), (0.9, 0.9), (0.001, 0.001), (0.0, 1.0), (1.0, 0.0)):
+            one, two = rng.random(size) < a, rng.random(size) < b
+            assert and_not(compressed(one), compressed(two)).tolist() == np.flatnonzero(one & ~two).tolist()
+
+
+def test_hot_references_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(orphans_of, "HOT_ROWS", 20), monkeypatch.setattr(orphans_of, "RANGE_ROWS", 8)
+    live = [(i, f"t{i % 4}", day(5 * i), day(5 * i + 9) if i % 3 else None, "", 0) for i in range(1, 40)] + [(90, "short", day(3), day(5), "", 0), (91, "short", day(10), day(11), "", 0)]
+    refs = [(f"r{i}", "t1" if i % 3 else "short", f"t{i % 6}", day(i % 200), None, "") for i in range(400)]
+    got = {(r.ref_key, r.side) for r in orphans(spark, live, [], refs, []).collect()}
+    want = {(r[0], side) for r in refs for side, t in (("parent", r[1]), ("child", r[2])) if not any(e[1] == t and e[2] <= r[3] and (e[3] is None or r[3] < e[3]) for e in live)}
+    assert got == want and want
+
+
 def test_one_group_is_bounded():
     assert hierarchy.TASK_NODES * 24 < 64 << 20
