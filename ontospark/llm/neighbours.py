@@ -1,7 +1,8 @@
 """Problem 1: the most similar vectors of every vector, by score-aware (anisotropic) four-bit codes and exact reranking.
 
 The index is fitted on a bounded sample (``SAMPLE`` rows: centroids and codebooks) and holds every usable row: a coarse centroid, the
-grid cell of its residual, a four-bit code of the residual and the packed vector. Candidates come from scans of four-bit tables
+grid cell of its residual, a four-bit code of the residual and the packed vector. Cells are counted first, over all rows, and full ones
+divided round their own mean, so that no task gets more than a bounded one. Candidates come from scans of four-bit tables
 inside cells (self join) or over all rows (a stated query set); every score that comes out is an exact cosine.
 """
 
@@ -18,18 +19,21 @@ from pyspark.sql.window import Window
 from ontospark.llm.vectors import AnisotropicCodes, from_nibbles, near_axes, nibbles, pack, rotation, spherical_kmeans, unit, unpack, usable_rows
 from ontospark.runtime import Stash
 
-#: Rows that the centroids and codebooks are fitted on, of whatever number there are.
-SAMPLE = 12_000
+#: Rows that the centroids are fitted on, and those of them (the first in hash order) for the codebooks, of whatever number there are.
+SAMPLE, BOOK_SAMPLE = 12_000, 4_000
 #: Rows for which 16 centroids do; more rows get more, up to 1024.
 ROWS_PER_16 = 10_000_000
 #: A row is also put under its second centroid within MARGIN, and into adjacent cells within RATIO of its strongest axis.
 AXES, MARGIN, RATIO, SPILL = 64, 0.04, 0.84, 4
 #: A cell of more rows is split round its own mean inside the task.
 LEAF = 1024
+#: A cell of more rows is split likewise before the shuffle, up to DEEPEST times, so that no task gets an unbounded one; bytes of one copied
+#: row, and of the rows that one task gets.
+FULL, DEEPEST, ROW_BYTES, TASK_BYTES = 1 << 15, 5, 340, 12 << 20
 #: Queries that one pass over the index takes.
 BLOCK = 16_384
 
-_ROW = pa.schema([("cell", pa.int32()), ("id", pa.int64()), ("code", pa.binary()), ("vec", pa.binary())])
+_ROW = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("code", pa.binary()), ("vec", pa.binary())])
 _PAIR = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64())])
 
 
@@ -40,7 +44,7 @@ class Index:
         self.dim, self.seed = dim, seed
         x = unit(sample).astype(np.float32) if len(sample) else np.eye(1, dim, dtype=np.float32)
         self.centroids = spherical_kmeans(x, int(min(1024, 16 * (1 + rows // ROWS_PER_16))), seed, 6)
-        small = x[:4000]
+        small = x[:BOOK_SAMPLE]
         self.codes = AnisotropicCodes(seed=seed).fit(small, self.centroids[(small @ self.centroids.T).argmax(1)])
         self._small = small
 
@@ -72,38 +76,112 @@ def fit_index(source: DataFrame, dim: int, seed: int = 5) -> Index:
     return Index(x, rows, dim, seed)
 
 
-def _index_rows(index, spilled: bool):
+def _placed(i: Index, x: np.ndarray, split: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, centroids and cells of unit rows: all that a row lies in or near; ``split`` has the means of cells that are divided."""
+    rot = rotation(i.dim, i.seed)[:, : min(AXES, i.dim)]
+    score = x @ i.centroids.T
+    first = score.argmax(1)
+    ways = [(np.arange(len(x)), first)]
+    if score.shape[1] > 1:
+        top = score[np.arange(len(x)), first].copy()
+        score[np.arange(len(x)), first] = -9
+        second = score.argmax(1)
+        close = np.flatnonzero(top - score[np.arange(len(x)), second] < MARGIN)
+        ways.append((close, second[close]))
+    for rows, centroid in ways:
+        if not len(rows):
+            continue
+        at, axis = near_axes(x[rows] - i.centroids[centroid], rot, RATIO, min(SPILL, i.dim))
+        row, cell = rows[at], (centroid[at] * (2 * AXES) + axis).astype(np.int64)
+        for depth in range(DEEPEST if split else 0):
+            row, cell = _divided(i, x, row, cell, split, depth)
+        yield row, cell % (1 << 20) // (2 * AXES), cell
+
+
+def _divided(i: Index, x: np.ndarray, row: np.ndarray, cell: np.ndarray, split: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of divided cells in the parts of one level: the strongest axes of another rotation round the cell's mean."""
+    rows, cells = [], []
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        mean = split.get(int(c)) if int(c) >> 20 >> (8 * depth) == 0 else None
+        if mean is None:
+            rows.append(row[at]), cells.append(cell[at])
+            continue
+        where, axis = near_axes(x[row[at]] - mean, rotation(i.dim, i.seed + 51 + depth)[:, :127], 0.8, min(4, i.dim))
+        rows.append(row[at][where]), cells.append(c + ((axis.astype(np.int64) + 1) << (20 + 8 * depth)))
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+_CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+
+def _count_rows(index, split, means: bool):
+    """Copies of each cell, or the number and vector sum of those that are to be divided."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, known = index.value, split.value
+        for b in batches:
+            _, raw = usable_rows(b.column(1), i.dim)
+            if not len(raw):
+                continue
+            x = unit(raw).astype(np.float32)
+            for row, _, cell in _placed(i, x, {c: m for c, m in known.items() if m is not None}):
+                if means:
+                    own = np.isin(cell, np.array([c for c, m in known.items() if m is None], np.int64))
+                    row, cell = row[own], cell[own]
+                c, where, n = np.unique(cell, return_inverse=True, return_counts=True)
+                total = np.zeros((len(c), i.dim) if means else (len(c), 0))
+                if means:
+                    np.add.at(total, where, x[row])
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], schema=_CELL)
+
+    return run
+
+
+_CELL_DDL = "cell long, n long, total array<double>"
+
+
+def _divide(rows: DataFrame, index) -> tuple[dict[int, np.ndarray], int]:
+    """Means of the cells that hold more than ``FULL`` rows, level by level (at most copies / FULL of them), and the number of copies."""
+    sc, split, copies = rows.sparkSession.sparkContext, {}, 0
+    for _ in range(DEEPEST):
+        counts = rows.mapInArrow(_count_rows(index, sc.broadcast(split), False), _CELL_DDL).groupBy("cell").agg(F.sum("n").alias("n"))
+        total = counts.agg(F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") > FULL, F.col("cell"))).alias("full")).first()
+        copies = total["all"] or 0
+        full = [c for c in total["full"] if c not in split]
+        if not full:
+            break
+        part = rows.mapInArrow(_count_rows(index, sc.broadcast(split | dict.fromkeys(full)), True), _CELL_DDL)
+        long = part.select("cell", "n", F.posexplode("total").alias("dim", "x")).groupBy("cell", "dim").agg((F.sum("x") / F.sum("n")).alias("x"))
+        for r in long.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("mean")).collect():
+            split[r["cell"]] = np.array(r["mean"], np.float32)
+    return split, copies
+
+
+def _index_rows(index, spilled: bool, split=None):
     """Index entries of usable rows: one each for a full scan, or one for every cell that a row lies in or near."""
     ix, dim = index, index.value.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = ix.value
-        rot = rotation(dim, i.seed)[:, : min(AXES, dim)]
         for b in batches:
             mask, raw = usable_rows(b.column(1), dim)
             if not len(raw):
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)[mask]
             x, vec = unit(raw).astype(np.float32), pack(raw)
-            score = x @ i.centroids.T
-            first = score.argmax(1)
-            ways = [(np.arange(len(x)), first)]
-            if spilled and score.shape[1] > 1:
-                top = score[np.arange(len(x)), first].copy()
-                score[np.arange(len(x)), first] = -9
-                second = score.argmax(1)
-                close = np.flatnonzero(top - score[np.arange(len(x)), second] < MARGIN)
-                ways.append((close, second[close]))
-            for rows, centroid in ways:
-                if not len(rows):
-                    continue
-                code = i.code(x[rows], centroid)
-                if spilled:
-                    at, axis = near_axes(x[rows] - i.centroids[centroid], rot, RATIO, min(SPILL, dim))
-                    cell = centroid[at] * (2 * AXES) + axis
-                else:
-                    at, cell = np.arange(len(rows)), centroid
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(ids[rows[at]]), pa.array([c.tobytes() for c in code[at]], pa.binary()), vec.take(pa.array(rows[at]))], schema=_ROW)
+            if spilled:
+                ways = _placed(i, x, split.value)
+            else:
+                first = (x @ i.centroids.T).argmax(1)
+                ways = [(np.arange(len(x)), first, first.astype(np.int64))]
+            for row, centroid, cell in ways:
+                # one code for each row and centroid, whatever the number of cells
+                pair, where = np.unique(row * len(i.centroids) + centroid, return_inverse=True)
+                code = np.ascontiguousarray(i.code(x[pair // len(i.centroids)], pair % len(i.centroids)))
+                width = code.shape[1]
+                packed = pa.Array.from_buffers(pa.binary(), len(pair), [None, pa.py_buffer((np.arange(len(pair) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(code.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[row]), packed.take(pa.array(where)), vec.take(pa.array(row))], schema=_ROW)
 
     return run
 
@@ -144,7 +222,7 @@ def _scan_cell(index, k: int, least: float, slack: float):
         exact = unit(unpack(t.column("vec").chunk(0), i.dim))
         x = exact.astype(np.float32)
         codes = from_nibbles(_fixed(t.column("code").chunk(0)))
-        base = x @ i.centroids[t.column("cell")[0].as_py() // (2 * AXES)]
+        base = x @ i.centroids[t.column("cell")[0].as_py() % (1 << 20) // (2 * AXES)]
         left, right, score = [], [], []
         for rows in _leaves(x, np.arange(len(ids)), i.seed):
             own = codes[rows]
@@ -200,8 +278,10 @@ def near_neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     if copied:
         member = stash.put(keyed.join(groups, ["h", "g"]).select("id", "rep").distinct())
         rows = source.join(member.filter("id <> rep").select("id"), "id", "left_anti")
-    cells = rows.mapInArrow(_index_rows(shared, True), "cell int, id long, code binary, vec binary")
-    pairs = cells.groupBy("cell").applyInArrow(_scan_cell(shared, k, least, slack), "id long, near long, cosine double")
+    split, copies = _divide(rows, shared)
+    cells = rows.mapInArrow(_index_rows(shared, True, spark.sparkContext.broadcast(split)), "cell long, id long, code binary, vec binary")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-copies * ROW_BYTES // TASK_BYTES))
+    pairs = cells.repartition(tasks, "cell").groupBy("cell").applyInArrow(_scan_cell(shared, k, least, slack), "id long, near long, cosine double")
     if copied:
         order = Window.partitionBy("rep").orderBy("id")
         first = member.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("rep", F.col("id").alias("copy"))
@@ -209,7 +289,9 @@ def near_neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
         own = first.select(F.col("rep").alias("id"), F.col("copy").alias("near"), F.lit(1.0).alias("cosine"))
         # k + 1, as a group's list holds its own members too
         lists = _ranked(spread.unionByName(own), k + 1).select(F.col("id").alias("rep"), "near", "cosine")
-        pairs = lists.join(member, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near", "cosine").filter("id <> near")
+        # the members of a large group stand on the side that a skewed join can split
+        several = member.join(lists, "rep").select("id", "near", "cosine").filter("id <> near")
+        pairs = lists.join(groups.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("id"), "near", "cosine").unionByName(several)
     return _ranked(pairs, k)
 
 
@@ -295,7 +377,7 @@ def nearest(df: DataFrame, query_filter: str = "id % 20 = 0", id_col: str = "id"
     index = fit_index(source, dim, seed)
     shared = spark.sparkContext.broadcast(index)
     stash = Stash(spark, "nearest")
-    rows = stash.put(source.dropDuplicates(["id"]).mapInArrow(_index_rows(shared, False), "cell int, id long, code binary, vec binary"))
+    rows = stash.put(source.dropDuplicates(["id"]).mapInArrow(_index_rows(shared, False), "cell long, id long, code binary, vec binary"))
     asked = rows.filter(query_filter).select("id", "vec")
     blocks = 1 + int(1.1 * asked.count()) // BLOCK
     lists = []
@@ -303,7 +385,11 @@ def nearest(df: DataFrame, query_filter: str = "id % 20 = 0", id_col: str = "id"
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow().combine_chunks()
         if part.num_rows:
             block = spark.sparkContext.broadcast((part.column("id").to_numpy(), unpack(part.column("vec").chunk(0), dim)))
-            lists.append(rows.mapInArrow(_scan_all(shared, block, k, over), "id long, near long, cosine double"))
+            found = rows.mapInArrow(_scan_all(shared, block, k, over), "id long, near long, cosine double")
+            if blocks > 1:  # one block's queries at a time in the driver and the executors
+                found = stash.put(found)
+                block.destroy()
+            lists.append(found)
     if not lists:
         return spark.createDataFrame([], "id long, rank int, near long, cosine double")
     found = lists[0]

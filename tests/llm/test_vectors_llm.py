@@ -207,3 +207,16 @@ def test_codes():
 def test_pack_is_lossless(scale):
     x = (np.arange(256).reshape(2, 128) * scale).astype(np.float32)
     assert (unpack(pack(x), 128) == x).all()
+
+
+def test_full_cells_are_divided(spark, monkeypatch):
+    """A dense cone that holds most rows, each with a twin, its cells divided before the shuffle: twins still meet."""
+    monkeypatch.setattr(neighbours, "FULL", 60)
+    rng = np.random.default_rng(8)
+    cone = rng.standard_normal(128) / np.sqrt(128) + rng.standard_normal((200, 128)) * 0.16 / np.sqrt(128)
+    twins = cone + rng.standard_normal(cone.shape) * 0.02 / np.sqrt(128)
+    x = np.concatenate([cone, twins, rng.standard_normal((60, 128))]).astype(np.float32)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(frame(spark, x, ["a"] * len(x))).collect()}
+    assert sum((i, i + 200) in got for i in range(1, 201)) >= 190
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(u[a - 1] @ u[b - 1] >= 0.96 - 1e-6 for a, b in got)
