@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ontospark.operators.order import numbered
 
-def moving_average(log: DataFrame, group: str, step: str, value: str, width: int = 5) -> DataFrame:
-    """Averages over full windows of ``width`` steps."""
+
+def moving_average(log: DataFrame, group: str, step: str, value: str, width: int | None = None) -> DataFrame:
+    """Averages over full windows of ``width`` steps; None: a twentieth of the group's steps, at least 5, and none for up to 10 steps."""
     w = Window.partitionBy(group).orderBy(step)
+    if width is None:
+        return _own_width(log, group, step, value)
     return log.select(group, step, F.avg(value).over(w.rowsBetween(1 - width, 0)).alias("average"), F.row_number().over(w).alias("n")).filter(F.col("n") >= width).drop("n")
 
 
+def _own_width(log: DataFrame, group: str, step: str, value: str) -> DataFrame:
+    """Windows whose width differs by group: sums up to a step less those up to ``width`` steps before, found by position."""
+    w = Window.partitionBy(group).orderBy(step)
+    rows = log.select(group, step, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"), F.row_number().over(w).alias("_n"))
+    size = log.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_all"))
+    rows = rows.join(F.broadcast(size), F.col(group).eqNullSafe(F.col("_g"))).filter("_all > 10").withColumn("_w", F.greatest(F.lit(5), F.floor(F.col("_all") / 20)))
+    back = rows.select(F.col(group).alias("_bg"), (F.col("_n") + F.col("_w")).alias("_bn"), F.col("_s").alias("_bs"))
+    both = rows.filter("_n >= _w").join(back, F.col(group).eqNullSafe(F.col("_bg")) & (F.col("_n") == F.col("_bn")), "left")
+    return both.select(group, step, ((F.col("_s") - F.coalesce("_bs", F.lit(0.0))) / F.col("_w")).alias("average"))
+
+
 def running_best(log: DataFrame, group: str, step: str, value: str) -> DataFrame:
     """Steps whose value beats all before them."""
     best = F.max(value).over(Window.partitionBy(group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
@@ -53,5 +68,50 @@ def grid(spark, **values: list) -> DataFrame:
 
 def rounds(jobs: DataFrame, order: str, slots: int = 4) -> DataFrame:
     """``(…, round, slot)`` of jobs taken ``slots`` at a time."""
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return jobs.withColumns({"round": F.floor(i / slots), "slot": F.pmod(i, F.lit(slots))})
+    return numbered(jobs, order, "_i").withColumns({"round": F.floor(F.col("_i") / slots), "slot": F.pmod("_i", F.lit(slots))}).drop("_i")
+
+
+def mean_loss(log: DataFrame, epoch: str, loss: str) -> DataFrame:
+    """``(epoch, loss)``: mean loss of each epoch; steps without a loss don't count."""
+    return log.groupBy(F.col(epoch).alias("epoch")).agg(F.avg(loss).alias("loss"))
+
+
+def timing(trials: DataFrame, size: str, seconds: str) -> DataFrame:
+    """``(size, trials, mean, std, comparisons, ms_each)``: times by number of phrases, with the population's deviation and the
+    milliseconds a comparison takes (A28, P30)."""
+    n = F.col(size)
+    t = trials.groupBy(n.alias("size")).agg(F.count(seconds).alias("trials"), F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("std"))
+    return t.withColumn("comparisons", F.col("size") * F.col("size")).withColumn("ms_each", F.try_divide(F.col("mean"), F.col("comparisons")) * 1000)
+
+
+def outcomes(jobs: DataFrame, group: str, ok: str) -> DataFrame:
+    """``(group, done, failed, share)`` of jobs by outcome; an unknown one has failed."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return jobs.groupBy(group).agg(F.count_if(good).alias("done"), F.count_if(~good).alias("failed"), F.avg(good.cast("double")).alias("share"))
+
+
+def compared(models: DataFrame, score: str, *ties: str) -> DataFrame:
+    """Models from the best score down, those without one last."""
+    return models.orderBy(F.col(score).desc_nulls_last(), *ties)
+
+
+def best_run(runs: DataFrame, group: str, score: str, tie: str) -> DataFrame:
+    """The run of each group with the highest score, ties by smaller ``tie``; groups without any score are left out."""
+    rest = [c for c in runs.columns if c != group]
+    order = F.struct((-F.col(score).cast("double")).alias("s"), F.col(tie).alias("t"))
+    return runs.filter(F.col(score).isNotNull()).groupBy(group).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(group, "_r.*")
+
+
+def evaluated(log: DataFrame, step: str, *needed: str) -> DataFrame:
+    """Log rows that have the needed values, by step."""
+    for c in needed:
+        log = log.filter(F.col(c).isNotNull())
+    return log.orderBy(step)
+
+
+def merged_summaries(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
+    """Rows of both summaries by key, each value from the first that has it."""
+    names = list(dict.fromkeys([*first.columns, *second.columns]))
+    a, b = (df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(n)) for df, n in ((first, "_a"), (second, "_b")))
+    have = lambda c: F.coalesce(*[F.col(f"{n}.{c}") for n, df in (("_a", first), ("_b", second)) if c in df.columns])
+    return a.join(b, list(keys), "full").select(*keys, *[have(c).alias(c) for c in names if c not in keys])

@@ -1,4 +1,4 @@
-"""Graph operators: term graph, degrees, clustering, PageRank, roles, bounded cycles, statistics."""
+"""Graph operators: term graph, degrees, clustering, PageRank, roles, cycles, depth, statistics."""
 
 from __future__ import annotations
 
@@ -115,3 +115,27 @@ def all_cycles(links: DataFrame) -> DataFrame:
 def component_stats(components: DataFrame) -> DataFrame:
     """``(components, nodes, largest, mean_size)``."""
     return components.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"))
+
+
+def max_depth(links: DataFrame, compat: bool = False) -> DataFrame:
+    """``(max_depth)``: links from the deepest node up to its root, loops apart (G7); no links give 0. ``compat`` gives 0 always, as a walk
+    from the roots along child -> parent edges, which no root has."""
+    deep = F.lit(0).cast("long") if compat else F.greatest(F.coalesce(F.max("depth"), F.lit(0)), F.lit(0)).cast("long")
+    return Hierarchy(links).nodes().agg(deep.alias("max_depth"))
+
+
+def degree_counts(links: DataFrame) -> DataFrame:
+    """``(term, children, parents)``: how many children and parents each term has."""
+    c = links.groupBy(F.col("parent").alias("term")).agg(F.count("*").alias("children"))
+    p = links.groupBy(F.col("child").alias("term")).agg(F.count("*").alias("parents"))
+    return c.join(p, "term", "full").fillna(0)
+
+
+def structure_report(links: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row on a hierarchy of ``links (child, parent)`` over ``terms (node)``: node classes, density, components and depth (X14, A20-A22,
+    G7). A term in no link is isolated and a component of its own."""
+    n = roles(links, terms).agg(F.count("*").alias("terms"), *[F.count_if(F.col("role") == r).alias(r) for r in ("root", "leaf", "intermediate", "isolated")])
+    e = links.agg(F.count("*").alias("links"), F.count_distinct("parent").alias("parents"), F.count_distinct("child").alias("children"))
+    c = component_stats(connected_components(links.unionByName(terms.select(F.col("node").alias("child"), F.col("node").alias("parent"))), "child", "parent")).select("components", "largest", "mean_size")
+    row = n.join(F.broadcast(e)).join(F.broadcast(c)).join(F.broadcast(max_depth(links)))
+    return row.withColumn("density", F.coalesce(F.try_divide("links", F.col("terms") * (F.col("terms") - 1.0)), F.lit(0.0)))

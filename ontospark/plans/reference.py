@@ -209,9 +209,9 @@ def _(s, d):
     return _all(s, d, False).above(cut)
 
 
-@query("l2_normalize", "SELECT id, round(list_sum(list_transform(x, lambda v: v * v)), 6) AS square, round(x[1], 6) AS first FROM (SELECT id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS x FROM entities WHERE len(embedding) = 128 AND NOT list_contains(list_transform(embedding, lambda v: isnan(v)), true) AND list_max(embedding) > 0)")
+@query("l2_normalize", "SELECT id, round(list_sum(list_transform(x, lambda v: v * v)), 6) AS square, round(x[1], 6) AS first FROM (SELECT id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS x FROM entities WHERE len(embedding) = 128 AND NOT list_contains(list_transform(embedding, lambda v: isnan(v)), true) AND list_max(list_transform(embedding, lambda v: abs(v))) > 0)")
 def _(s, d):
-    e = table(s, d, "entities").filter("size(embedding) = 128 and not exists(embedding, v -> isnan(v)) and array_max(embedding) > 0")
+    e = table(s, d, "entities").filter("size(embedding) = 128 and not exists(embedding, v -> isnan(v)) and exists(embedding, v -> v <> 0)")
     return e.select("id", V.l2_normalize(F.col("embedding")).alias("x")).select("id", _r(V.dot(F.col("x"), F.col("x"))).alias("square"), _r(F.col("x")[0]).alias("first"))
 
 
@@ -389,12 +389,7 @@ SELECT i AS draw, grp FROM range(200) r(i) JOIN c ON {_U.format('i')} > lo AND {
 def _(s, d):
     n = table(s, d, "documents").filter("source is not null").groupBy(F.col("source").alias("grp")).agg(F.count("*").alias("n"))
     w = n.select("grp", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("weight"))
-    return R.choose_group(w, s.range(200).select(F.col("id").alias("draw")))
-
-
-@query("balanced_batch")
-def _(s, d):
-    return R.balanced_batch(_pairs(s, d), 64)
+    return R.choose_group(w, s.range(200).select(F.col("id").alias("draw")), "weighted")
 
 
 @query("relation_matrix", f"""{_PAIR}, c AS (SELECT child_id FROM (SELECT DISTINCT child_id FROM p) ORDER BY {_U.format('child_id')}, child_id LIMIT 32), q AS (SELECT parent_id FROM (SELECT DISTINCT parent_id FROM p) ORDER BY {_U.format('parent_id')}, parent_id LIMIT 32)
@@ -426,16 +421,6 @@ def _(s, d):
     return t.select("row_pos", P.instruction(F.col("term")).alias("instruction"), P.term_text(F.col("term"), F.col("types")).alias("labelled"))
 
 
-@query("prompt_few_shot", """WITH e AS (SELECT term, types FROM terms_train WHERE term IS NOT NULL AND len(types) > 0 AND NOT contains(array_to_string(types, ''), '''') ORDER BY row_pos LIMIT 3),
-x AS (SELECT string_agg(concat(r, '. Term: ', term, chr(10), 'Types: [', array_to_string(list_transform(types, lambda t: '''' || t || ''''), ', '), ']'), chr(10) ORDER BY r) AS x FROM (SELECT *, row_number() OVER () AS r FROM e))
-SELECT row_pos, md5(concat('<|im_start|>system', chr(10), 'You are an expert in ontology term typing.<|im_end|>', chr(10), '<|im_start|>user', chr(10), 'Examples:', chr(10), x, chr(10), chr(10), 'Term: ', term, chr(10), 'Types:<|im_end|>', chr(10))) AS chat FROM terms_train, x WHERE term IS NOT NULL""")
-def _(s, d):
-    t = table(s, d, "terms_train").filter("term is not null")
-    shots = t.filter("size(types) > 0 and not contains(array_join(types, ''), \"'\")").orderBy("row_pos").limit(3)
-    shots = shots.agg(F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "term", "types"))), lambda e: F.struct(e["term"].alias("term"), e["types"].alias("types"))).alias("shots"))
-    return t.join(F.broadcast(shots)).select("row_pos", F.md5(P.chat_template(P.conversation(P.few_shot(F.col("shots"), F.col("term"), 3)))).alias("chat"))
-
-
 @query("extract_types_regex", "SELECT row_pos, array_to_string(list_sort(list_distinct(types)), ',') AS found FROM terms_train WHERE types IS NOT NULL AND term IS NOT NULL UNION ALL SELECT row_pos, '' FROM terms_train WHERE types IS NULL AND term IS NOT NULL")
 def _(s, d):
     t = table(s, d, "terms_train").filter("term is not null")
@@ -458,9 +443,9 @@ def _(s, d):
 @query("experiment_grid", "SELECT count(*) AS n, count(DISTINCT (lr, b)) AS pairs, sum(CAST(round_trip AS INTEGER))::BIGINT AS same FROM (SELECT lr, b, true AS round_trip FROM (SELECT unnest([1e-5, 1e-4, 5e-5, 1e-3]) AS lr), (SELECT unnest([16, 32, 64, 128, 256]) AS b), (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest(['doid', 'obi', 'po']) AS ds))")
 def _(s, d):
     g = X.grid(s, lr=[1e-5, 1e-4, 5e-5, 1e-3], b=[16, 32, 64, 128, 256], seed=[1, 2, 3], ds=["doid", "obi", "po"])
-    g = g.withColumn("name", P.run_name(F.col("ds"), F.col("lr"), F.col("b"), F.col("seed")))
-    p = g.select("*", F.struct(*P.parse_run(F.col("name"))).alias("p"))
-    same = F.expr("p.ds = ds and p.lr = lr and p.batch = b and p.seed = seed").cast("int")
+    name = P.run_name(F.lit("2025-07-11 19:18:06").cast("timestamp_ntz"), F.col("ds"), F.lit(10), F.col("lr"), F.col("b"), F.lit(100), F.col("seed"))
+    p = g.select("*", P.parse_run(name).alias("p"))
+    same = F.expr("p.dataset = ds and p.lr = lr and p.batch = b and p.seed = seed").cast("int")
     return p.agg(F.count("*").alias("n"), F.count_distinct("lr", "b").alias("pairs"), F.sum(same).alias("same"))
 
 
@@ -473,7 +458,7 @@ _W = "OVER (PARTITION BY event_type ORDER BY event_id"
 
 @query("moving_average", f"SELECT event_type, event_id AS step, round(a, 6) AS average FROM (SELECT *, avg(value) {_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, row_number() {_W}) AS n FROM events) WHERE n >= 5")
 def _(s, d):
-    return X.moving_average(_log(s, d), "event_type", "step", "value").withColumn("average", _r("average"))
+    return X.moving_average(_log(s, d), "event_type", "step", "value", 5).withColumn("average", _r("average"))
 
 
 @query("running_best", f"SELECT event_type, event_id AS step, value FROM (SELECT *, max(value) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b")
@@ -655,13 +640,6 @@ def _(s, d):
     return _groups(s, d).groupBy(F.col("grp").alias("dataset")).agg(n.alias("terms"), (n * n).alias("cells"), (n > 1000).alias("large"))
 
 
-@query("lora_merge", "SELECT a.r_regionkey AS row, b.n_nationkey AS col, round(a.r_regionkey * 0.1 + (a.r_regionkey + 1) * (b.n_nationkey + 2) * 2.0, 6)::DOUBLE AS value FROM region a, nation b")
-def _(s, d):
-    a, b = table(s, d, "region").select("r_regionkey"), table(s, d, "nation").select("n_nationkey")
-    w, low = F.col("r_regionkey") * 0.1, (F.col("r_regionkey") + 1) * (F.col("n_nationkey") + 2)
-    return a.join(F.broadcast(b)).select(F.col("r_regionkey").alias("row"), F.col("n_nationkey").alias("col"), F.round(w.cast("double") + low.cast("double") * (16 / 8), 6).alias("value"))
-
-
 @query("window_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(s, d):
     e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

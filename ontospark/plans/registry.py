@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontospark.plans import problems, reference
+from ontospark.plans import pipeline, problems, reference
 
-_MODULES = [reference, problems]
+_MODULES = [reference, pipeline, problems]
 
 
 def queries() -> dict:

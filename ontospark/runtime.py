@@ -53,20 +53,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """The Hadoop path and its file system, so that any storage the session reads is seen, not the driver's disk."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _hadoop(spark, path)
+    p, fs = hadoop(spark, path)
     return fs.exists(p)
 
 
 def listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """``(name, is a folder)`` of everything directly in a folder, by name; a missing folder holds nothing."""
-    p, fs = _hadoop(spark, path)
+    p, fs = hadoop(spark, path)
     return sorted((f.getPath().getName(), f.isDirectory()) for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
@@ -78,7 +78,7 @@ def _own_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     root = f"{shared_folder(spark)}/ontospark-{app}"
     if app not in _kept:
-        _kept[app] = _hadoop(spark, root)
+        _kept[app] = hadoop(spark, root)
         atexit.register(_remove, app)
     return root
 
@@ -116,7 +116,7 @@ class Stash:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:
-            p, fs = _hadoop(self.spark, path)
+            p, fs = hadoop(self.spark, path)
             fs.delete(p, True)
 
 
