@@ -23,7 +23,7 @@ def indicators(rows: DataFrame, key: str, labels: str) -> DataFrame:
     of the plan, so they must be few enough for a row, as any indicator must."""
     every = label_positions(rows, labels).agg(F.array_sort(F.collect_list("label")).alias("every"))
     has = F.coalesce(F.col(labels), F.array().cast("array<string>"))
-    return rows.join(F.broadcast(every)).select(key, F.transform("every", lambda v: F.array_contains(has, v).cast("int")).alias("y"))
+    return rows.join(F.broadcast(every)).select(key, F.transform("every", lambda v: F.coalesce(F.array_contains(has, v), F.lit(False)).cast("int")).alias("y"))
 
 
 def graph_features(edges: DataFrame, nodes: DataFrame, **rank) -> DataFrame:

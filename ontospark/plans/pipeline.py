@@ -18,6 +18,7 @@ from ontospark.operators import relations as R
 from ontospark.operators import similarity as S
 from ontospark.operators import weights as W
 from ontospark.operators.hierarchy import term_links
+from ontospark.operators.order import numbered
 from ontospark.plans.reference import _GRAPH, _K, _PAIRS, _TREE, _U, _emb, _groups, _near_graph, _pairs, _r
 from ontospark.runtime import table
 from ontospark.sources import files
@@ -110,16 +111,16 @@ def _(s, d):
     return s.createDataFrame([tuple(ratios.values())], ", ".join(f"{k} double" for k in ratios)).select(*[F.round(c, 9).alias(c) for c in ratios])
 
 
-@query("predict_hierarchy", f"""WITH t AS (SELECT nation.n_nationkey AS id, n_name AS text, {_LETTERS.format("lower(n_name)")} AS v FROM nation),
+@query("predict_hierarchy", f"""WITH t AS (SELECT row_number() OVER (ORDER BY encode(term)) - 1 AS id, term AS text, {_LETTERS.format("lower(term)")} AS v FROM top_terms),
 u AS (SELECT id, text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM t),
 n AS (SELECT id, text, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u) / 26 + 1e-6)) AS x FROM u),
 h AS (SELECT id, text, g, x[g * 13 + 1:g * 13 + 13] AS x FROM n, range(2) r(g)),
 e AS (SELECT a.id AS i, b.id AS j, a.text AS child, b.text AS parent, a.g, exp(list_dot_product(a.x, b.x) * 13 ** -0.5) AS e FROM h a JOIN h b ON a.g = b.g),
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY i, g) AS p FROM e)
-SELECT i::BIGINT AS child_id, j::BIGINT AS parent_id, round(avg(p), 6) AS confidence, child, parent FROM p WHERE i <> j GROUP BY i, j, child, parent HAVING avg(p) > 0.041""")
+SELECT i::BIGINT AS child_id, j::BIGINT AS parent_id, round(avg(p), 6) AS confidence, child, parent FROM p WHERE i <> j GROUP BY i, j, child, parent HAVING avg(p) > 0.09""")
 def _(s, d):
-    t = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("text"))
-    return L.predict_hierarchy(t, L.LetterEncoder, threshold=0.041).withColumn("confidence", _r("confidence"))
+    t = numbered(table(s, d, "top_terms").select(F.col("term").alias("text")), "text", "id")
+    return L.predict_hierarchy(t, L.LetterEncoder, threshold=0.09).withColumn("confidence", _r("confidence"))
 
 
 # prompts and training texts
@@ -245,8 +246,6 @@ d AS (SELECT k AS draw, CAST(floor({_u("'i'", "k")} * n) AS BIGINT) AS i, CAST(f
 SELECT draw, i, j + CAST(j >= i AS BIGINT) AS j, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM d JOIN v a ON a.pos = i JOIN v b ON b.pos = j + CAST(j >= i AS BIGINT)""")
 def _(s, d):
     from ontospark.functions.vector import dot
-    from ontospark.operators.order import numbered
-
     v = numbered(_emb(s, d).select("vec_id", "embedding"), "vec_id")
     drawn = R.off_diagonal_sample(v.count(), s.range(2000).select(F.col("id").alias("draw")))
     a, b = v.select(F.col("pos").alias("i"), F.col("embedding").alias("a")), v.select(F.col("pos").alias("j"), F.col("embedding").alias("b"))
