@@ -1,4 +1,4 @@
-"""Training logs and runs."""
+"""Training logs and runs."""
 
 from __future__ import annotations
 

@@ -131,11 +131,12 @@ def degree_counts(links: DataFrame) -> DataFrame:
     return c.join(p, "term", "full").fillna(0)
 
 
-def structure_report(links: DataFrame, terms: DataFrame) -> DataFrame:
+def structure_report(links: DataFrame, terms: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """One row on a hierarchy of ``links (child, parent)`` over ``terms (node)``: node classes, density, components and depth (X14, A20-A22,
-    G7). A term in no link is isolated and a component of its own."""
+    G7). A term in no link is isolated and a component of its own. ``tree`` has the links that depth goes along, one parent each, where ``links``
+    have more."""
     n = roles(links, terms).agg(F.count("*").alias("terms"), *[F.count_if(F.col("role") == r).alias(r) for r in ("root", "leaf", "intermediate", "isolated")])
     e = links.agg(F.count("*").alias("links"), F.count_distinct("parent").alias("parents"), F.count_distinct("child").alias("children"))
     c = component_stats(connected_components(links.unionByName(terms.select(F.col("node").alias("child"), F.col("node").alias("parent"))), "child", "parent")).select("components", "largest", "mean_size")
-    row = n.join(F.broadcast(e)).join(F.broadcast(c)).join(F.broadcast(max_depth(links)))
+    row = n.join(F.broadcast(e)).join(F.broadcast(c)).join(F.broadcast(max_depth(links if tree is None else tree)))
     return row.withColumn("density", F.coalesce(F.try_divide("links", F.col("terms") * (F.col("terms") - 1.0)), F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""Binary, multi-label and distribution metrics (A5-A15, A23-A25, A29, W5, F8) as one-pass aggregates."""
+"""Binary, multi-label and distribution metrics (A6-A15, A23, W5, F8) as one-pass aggregates."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Relations: resolution, grouping, splits, sampling and validation."""
+"""Relations: resolution, grouping, splits, sampling and validation."""
 
 from __future__ import annotations
 

@@ -18,6 +18,7 @@ from ontospark.operators import models as L
 from ontospark.operators import relations as R
 from ontospark.operators import similarity as S
 from ontospark.operators import weights as W
+from ontospark.operators import workflows as flows
 from ontospark.operators.order import numbered
 from ontospark.plans import registry
 from ontospark.sources import files
@@ -244,6 +245,22 @@ def test_structure(spark):
     assert G.max_depth(links, compat=True).first()[0] == 0 == G.max_depth(links.limit(0)).first()[0]
 
 
+def test_workflows(spark, tmp_path):
+    terms = spark.createDataFrame([(i, t) for i, t in enumerate(["iron", "iron ore", "salt", "rock salt", None])], "id long, text string")
+    path, out = str(tmp_path / "run"), str(tmp_path / "cut")
+    got = flows.run_inference(terms, L.LetterEncoder, path, threshold=0.3, dataset="x")
+    assert got.keys() == {"terms", "scores", "pairs", "metadata"} and got["scores"].count() == 16 and got["terms"].count() == 4
+    meta = got["metadata"].first()
+    assert (meta.n_terms, meta.n_pairs, meta.threshold_used) == (4, got["pairs"].count(), 0.3) and json.loads(meta.model_info) == {"dataset": "x"}
+    assert flows.run_inference(terms.limit(0), L.LetterEncoder, path)["terms"].count() == 4  # what is there is read
+    cut = flows.cut_anew(spark, path, 0.1, out)
+    row = cut["metadata"].first()
+    assert cut["pairs"].count() == row.new_pairs == row.n_pairs == got["pairs"].count() + cut["changes"].count() and row.scores_at == f"{path}/scores"
+    with pytest.raises(ValueError):
+        flows.cut_anew(spark, path, -0.1, out)
+    assert "structure" in flows.report(spark, out.replace("cut", "run"), "run") and flows.analyze_results(spark, path)["structure"].first().terms == 4
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "id long, v array<double>")
     assert [r[0] for r in df.orderBy("id").select(V.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], None, None, None]
