@@ -30,8 +30,8 @@ LEAF = 1024
 #: A cell of more rows is split likewise before the shuffle, up to DEEPEST times, so that no task gets an unbounded one; bytes of one copied
 #: row, and of the rows that one task gets.
 FULL, DEEPEST, ROW_BYTES, TASK_BYTES = 1 << 15, 5, 340, 12 << 20
-#: Queries that one pass over the index takes.
-BLOCK = 16_384
+#: Queries that one pass over the index takes, and rows of the index that are scanned together.
+BLOCK, PART = 32_768, 1 << 17
 
 _ROW = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("code", pa.binary()), ("vec", pa.binary())])
 _PAIR = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64())])
@@ -309,26 +309,28 @@ def _scan_all(index, block, k: int, over: int):
         qid, qraw = queries.value
         ids = np.concatenate([p[0] for p in parts])
         code, raw, cent = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+        length = np.linalg.norm(raw.astype(np.float64), axis=1)
         out = []
         for at in range(0, len(qid), 64):
             q = unit(qraw[at : at + 64])
             q32 = q.astype(np.float32)
-            tables, scale = i.codes.byte_tables(q32)
-            base = q32 @ i.centroids.T
+            tables, scale = i.codes.byte_tables(q32, room=1.0)
+            base = np.rint((q32 @ i.centroids.T).T * scale).astype(np.int16)
             want = min(len(ids), over * k + 1)
-            floor = np.full(len(q), -np.inf, np.float32)
+            floor = np.full(len(q), np.iinfo(np.int16).min, np.int16)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for low in range(0, len(ids), 8192):
-                sums = i.codes.scan(tables, code[low : low + 8192]) / np.float32(scale) + base.T[cent[low : low + 8192]]
+            for low in range(0, len(ids), 2048):
+                sums = i.codes.scan(tables, code[low : low + 2048])
+                sums += base[cent[low : low + 2048]]
                 if low == 0:
                     floor = np.partition(sums, max(0, len(sums) - want), axis=0)[max(0, len(sums) - want)]
-                r, c = np.nonzero(sums >= floor)
+                r, c = np.divmod(np.flatnonzero(sums >= floor), len(q))
                 found.append((r + low, c, sums[r, c]))
                 if low and sum(len(f[0]) for f in found) > 4 * want * len(q):
                     found, floor = _trim(found, want, len(q))
             found, _ = _trim(found, want, len(q))
             r, c, _ = found[0]
-            exact = np.einsum("nd,nd->n", unit(raw[r]), q[c]) if len(r) else np.zeros(0)
+            exact = np.einsum("nd,nd->n", raw[r].astype(np.float64), q[c]) / length[r] if len(r) else np.zeros(0)
             other = ids[r] != qid[at + c]
             r, c, exact = r[other], c[other], exact[other]
             best = _best(c, ids[r], exact, k)
@@ -339,13 +341,12 @@ def _scan_all(index, block, k: int, over: int):
 
     def _trim(found, want, n):
         r, c, s = (np.concatenate([f[j] for f in found]) for j in range(3))
-        keep = _best(c, r, s, want)
+        keep = _best(c, r, s.astype(np.int32), want)
         r, c, s = r[keep], c[keep], s[keep]
-        floor = np.full(n, -np.inf, np.float32)
-        size = np.bincount(c, minlength=n)
-        low = np.full(n, np.inf, np.float32)
+        floor = np.full(n, np.iinfo(np.int16).min, np.int16)
+        low = np.full(n, np.iinfo(np.int16).max, np.int16)
         np.minimum.at(low, c, s)
-        full = size >= want
+        full = np.bincount(c, minlength=n) >= want
         floor[full] = low[full]
         return [(r, c, s)], floor
 
@@ -356,7 +357,7 @@ def _scan_all(index, block, k: int, over: int):
                 continue
             parts.append((b.column(1).to_numpy(), _fixed(b.column(2)), unpack(b.column(3), i.dim), b.column(0).to_numpy()))
             n += b.num_rows
-            if n >= 65_536:
+            if n >= PART:
                 yield flush(i, parts)
                 parts, n = [], 0
         if parts and (last := flush(i, parts)) is not None:

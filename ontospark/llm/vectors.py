@@ -163,11 +163,12 @@ class AnisotropicCodes:
         q = queries.reshape(len(queries), -1, self.width)
         return np.einsum("nmw,mcw->mcn", q, self.books, optimize=True).astype(np.float32)
 
-    def byte_tables(self, queries: np.ndarray) -> tuple[np.ndarray, float]:
-        """For long scans: the tables of two neighbouring subspaces as one of 256 entries, in 16-bit integers, and their scale."""
+    def byte_tables(self, queries: np.ndarray, room: float = 0.0) -> tuple[np.ndarray, float]:
+        """For long scans: the tables of two neighbouring subspaces as one of 256 entries, in 16-bit integers, and their scale. ``room``:
+        how much may be added to a sum."""
         t = self.tables(queries).astype(np.float32)
         both = t[1::2, :, None, :] + t[::2, None, :, :]
-        scale = 30000.0 / max(1e-9, float(np.abs(both).max(1).max(1).sum(0).max()))
+        scale = 30000.0 / max(1e-9, float(np.abs(both).max(1).max(1).sum(0).max()) + room)
         return np.rint(both.reshape(len(both), 256, -1) * scale).astype(np.int16), scale
 
     def short_tables(self, queries: np.ndarray) -> tuple[np.ndarray, float]:
