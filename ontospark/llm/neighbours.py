@@ -116,24 +116,29 @@ _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("total", pa.list_(p
 
 
 def _count_rows(index, split, means: bool):
-    """Copies of each cell, or the number and vector sum of those that are to be divided."""
+    """Copies of each cell, or the number and vector sum of those that are to be divided; summed in the task before they leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, known = index.value, split.value
+        done, asked = {c: m for c, m in known.items() if m is not None}, np.array([c for c, m in known.items() if m is None], np.int64)
+        cells, counts, totals = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, i.dim if means else 0))
         for b in batches:
             _, raw = usable_rows(b.column(1), i.dim)
             if not len(raw):
                 continue
             x = unit(raw).astype(np.float32)
-            for row, _, cell in _placed(i, x, {c: m for c, m in known.items() if m is not None}):
+            for row, _, cell in _placed(i, x, done):
                 if means:
-                    own = np.isin(cell, np.array([c for c, m in known.items() if m is None], np.int64))
+                    own = np.isin(cell, asked)
                     row, cell = row[own], cell[own]
-                c, where, n = np.unique(cell, return_inverse=True, return_counts=True)
-                total = np.zeros((len(c), i.dim) if means else (len(c), 0))
+                c, where = np.unique(np.concatenate([cells, cell]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([counts, np.ones(len(cell), np.int64)]), len(c)).astype(np.int64)
+                total = np.zeros((len(c), totals.shape[1]))
                 if means:
-                    np.add.at(total, where, x[row])
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], schema=_CELL)
+                    total[where[: len(cells)]] = totals
+                    np.add.at(total, where[len(cells) :], x[row])
+                cells, counts, totals = c, n, total
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts), pa.array(list(totals), pa.list_(pa.float64()))], schema=_CELL)
 
     return run
 
