@@ -88,7 +88,7 @@ def _settle(refs: DataFrame, spans: DataFrame, stash: Stash) -> DataFrame:
     first = began + F.when(F.col("since") > F.date_trunc("month", "since"), 1).otherwise(0)
     wide = spans.select("key", F.greatest(first, F.lit(low)).cast("int").alias("month"), F.least(F.coalesce(ended, F.lit(high + 1)), F.lit(high + 1)).cast("int").alias("until")).filter("month < until").distinct()
     both = asked.select("key", "month", F.lit(None).cast("int").alias("until")).unionByName(wide)
-    ranges = -(-2 * edge.n // RANGE_ROWS) or 1
+    ranges = -(-(edge.n + spans.count()) // RANGE_ROWS) or 1
     left = both.groupBy(F.pmod(F.xxhash64("key"), F.lit(ranges))).applyInArrow(_open_bits, "key long, month int")
     # decode: the references whose bit survived; those of a very frequent key and month in parts
     left = stash.put(left.join(asked, ["key", "month"]).select("key", "month", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
