@@ -299,32 +299,33 @@ class PairScores:
             return None
         at = (edge.n - 1) * share
         first = int(np.floor(at))
-        wanted = [first, min(first + 1, edge.n - 1)]
-        found = [self._nth(k, edge.low, edge.high, bins) for k in dict.fromkeys(wanted)]
-        a, b = found[0], found[-1]
+        found = self._nth([first, min(first + 1, edge.n - 1)], edge.low, np.nextafter(edge.high, np.inf), bins)
+        a, b = found[first], found[min(first + 1, edge.n - 1)]
         return float(a + (at - first) * (b - a))
 
-    def _nth(self, k: int, low: float, high: float, bins: int) -> float:
-        """The score with ``k`` others before it, all of which lie between ``low`` and ``high``."""
-        high = np.nextafter(high, np.inf)
-        while True:
-            edges = np.linspace(low, high, bins + 1)
-            if edges[1] <= edges[0] or edges[0] == edges[-1] or high - low <= 4 * np.spacing(max(abs(low), abs(high))):
-                return float(low)
-
-            def figures(s, y, w, edges=edges):
-                b = np.searchsorted(edges, s, side="right")
-                at, n = np.unique(b, return_counts=True)
-                return {"b": at.astype(np.int64), "n": (n * w).astype(np.int64)}
-
-            got = self.count(figures, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").toArrow()
-            b, upto = got.column("b").to_numpy(), np.cumsum(got.column("n").to_numpy())
-            x = int(np.searchsorted(upto, k, side="right"))
-            inside, before = int(b[x]), int(upto[x - 1]) if x else 0
-            low, high = float(edges[inside - 1]), float(edges[inside])
-            if upto[x] - before <= FEW:
-                return float(self._between(low, high)[k - before])
-            # the next cut counts from the table's start again, as scores before ``low`` fall into bin 0
+    def _nth(self, wanted: list[int], low: float, high: float, bins: int) -> dict[int, float]:
+        """The scores with so many others before them, of all scores; they lie in [low, high)."""
+        edges = np.linspace(low, high, bins + 1)
+        if edges[1] <= edges[0] or high - low <= 4 * np.spacing(max(abs(low), abs(high))):
+            return dict.fromkeys(wanted, float(low))
+
+        def figures(s, y, w):
+            at, n = np.unique(np.searchsorted(edges, s, side="right"), return_counts=True)
+            return {"b": at.astype(np.int64), "n": (n * w).astype(np.int64)}
+
+        # scores before ``low`` lie in bin 0, so that places are those among all scores
+        got = self.count(figures, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").toArrow()
+        b, upto = got.column("b").to_numpy(), np.cumsum(got.column("n").to_numpy())
+        found, place = {}, np.searchsorted(upto, wanted, side="right")
+        for x in np.unique(place):
+            own = [k for k, p in zip(wanted, place) if p == x]
+            begin, end, before = float(edges[b[x] - 1]), float(edges[b[x]]), int(upto[x - 1]) if x else 0
+            if upto[x] - before > FEW:
+                found |= self._nth(own, begin, end, bins)
+            else:
+                values = self._between(begin, end)
+                found |= {k: float(values[k - before]) for k in own}
+        return found
 
 
 def pair_auc(scores: PairScores, bins: int = BINS) -> DataFrame:
