@@ -29,7 +29,7 @@ AXES, MARGIN, RATIO, SPILL = 64, 0.04, 0.84, 4
 LEAF = 1024
 #: A cell of more rows is split likewise before the shuffle, up to DEEPEST times, so that no task gets an unbounded one; bytes of one copied
 #: row, and of the rows that one task gets.
-FULL, DEEPEST, ROW_BYTES, TASK_BYTES = 1 << 15, 5, 340, 12 << 20
+FULL, DEEPEST, ROW_BYTES, TASK_BYTES = 1 << 15, 5, 340, 8 << 20
 #: Queries that one pass over the index takes, and rows of the index that are scanned together.
 BLOCK, PART = 32_768, 1 << 17
 
