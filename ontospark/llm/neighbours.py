@@ -1,9 +1,9 @@
 """Problem 1: the most similar vectors of every vector, by score-aware (anisotropic) four-bit codes and exact reranking.
 
-The index is fitted on a bounded sample (``SAMPLE`` rows: centroids and codebooks) and holds every usable row: a coarse centroid, the
-grid cell of its residual, a four-bit code of the residual and the packed vector. Cells are counted first, over all rows, and full ones
-divided round their own mean, so that no task gets more than a bounded one. Candidates come from scans of four-bit tables
-inside cells (self join) or over all rows (a stated query set); every score that comes out is an exact cosine.
+The index is fitted on a bounded sample (``SAMPLE`` rows: centroids and codebooks) and holds every usable row: a coarse centroid, whose cell
+it lies in, a four-bit code of the residual and the packed vector. Cells are counted first, over all rows, and full ones divided round their
+own mean, so that no task gets more than a bounded one. Candidates come from scans of four-bit tables (two neighbouring ones
+read as one of 256 entries) inside cells (self join) or over all rows (a stated query set); every score that comes out is an exact cosine.
 """
 
 from __future__ import annotations
@@ -16,20 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ontospark.llm.vectors import AnisotropicCodes, from_nibbles, near_axes, nibbles, pack, rotation, spherical_kmeans, unit, unpack, usable_rows
+from ontospark.llm.vectors import AnisotropicCodes, near_axes, nibbles, pack, rotation, spherical_kmeans, unit, unpack, usable_rows
 from ontospark.runtime import Stash
 
 #: Rows that the centroids are fitted on, and those of them (the first in hash order) for the codebooks, of whatever number there are.
 SAMPLE, BOOK_SAMPLE = 12_000, 4_000
-#: Rows for which 16 centroids do; more rows get more, up to 1024.
-ROWS_PER_16 = 10_000_000
-#: A row is also put under its second centroid within MARGIN, and into adjacent cells within RATIO of its strongest axis.
-AXES, MARGIN, RATIO, SPILL = 64, 0.04, 0.84, 4
-#: A cell of more rows is split round its own mean inside the task.
-LEAF = 1024
-#: A cell of more rows is split likewise before the shuffle, up to DEEPEST times, so that no task gets an unbounded one; bytes of one copied
-#: row, and of the rows that one task gets.
-FULL, DEEPEST, ROW_BYTES, TASK_BYTES = 1 << 15, 5, 340, 8 << 20
+#: Rows that a centroid stands for, up to MOST centroids: its cell is scanned whole. A row is also put under its second centroid within
+#: MARGIN.
+CELL_ROWS, MOST, MARGIN = 1 << 14, 1024, 0.04
+#: A cell of more rows is divided by axes round its own mean, before the shuffle, up to DEEPEST times, so that no task gets an unbounded one;
+#: there a row also lies in adjacent parts within RATIO of its strongest axis, SPILL at most.
+FULL, DEEPEST, RATIO, SPILL = 1 << 15, 5, 0.8, 4
+#: Pairs that a task holds before it cuts its lists.
+HELD = 1 << 21
+#: Bytes of one copied row, and of the rows that one task gets.
+ROW_BYTES, TASK_BYTES = 340, 8 << 20
 #: Queries that one pass over the index takes, and rows of the index that are scanned together.
 BLOCK, PART = 32_768, 1 << 17
 
@@ -43,7 +44,7 @@ class Index:
     def __init__(self, sample: np.ndarray, rows: int, dim: int, seed: int):
         self.dim, self.seed = dim, seed
         x = unit(sample).astype(np.float32) if len(sample) else np.eye(1, dim, dtype=np.float32)
-        self.centroids = spherical_kmeans(x, int(min(1024, 16 * (1 + rows // ROWS_PER_16))), seed, 6)
+        self.centroids = spherical_kmeans(x, int(min(MOST, max(1, rows // CELL_ROWS))), seed, 6)
         small = x[:BOOK_SAMPLE]
         self.codes = AnisotropicCodes(seed=seed).fit(small, self.centroids[(small @ self.centroids.T).argmax(1)])
         self._small = small
@@ -78,7 +79,6 @@ def fit_index(source: DataFrame, dim: int, seed: int = 5) -> Index:
 
 def _placed(i: Index, x: np.ndarray, split: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers, centroids and cells of unit rows: all that a row lies in or near; ``split`` has the means of cells that are divided."""
-    rot = rotation(i.dim, i.seed)[:, : min(AXES, i.dim)]
     score = x @ i.centroids.T
     first = score.argmax(1)
     ways = [(np.arange(len(x)), first)]
@@ -91,11 +91,10 @@ def _placed(i: Index, x: np.ndarray, split: dict[int, np.ndarray]) -> Iterator[t
     for rows, centroid in ways:
         if not len(rows):
             continue
-        at, axis = near_axes(x[rows] - i.centroids[centroid], rot, RATIO, min(SPILL, i.dim))
-        row, cell = rows[at], (centroid[at] * (2 * AXES) + axis).astype(np.int64)
+        row, cell = rows, centroid.astype(np.int64)
         for depth in range(DEEPEST if split else 0):
             row, cell = _divided(i, x, row, cell, split, depth)
-        yield row, cell % (1 << 20) // (2 * AXES), cell
+        yield row, cell % (1 << 20), cell
 
 
 def _divided(i: Index, x: np.ndarray, row: np.ndarray, cell: np.ndarray, split: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +106,7 @@ def _divided(i: Index, x: np.ndarray, row: np.ndarray, cell: np.ndarray, split:
         if mean is None:
             rows.append(row[at]), cells.append(cell[at])
             continue
-        where, axis = near_axes(x[row[at]] - mean, rotation(i.dim, i.seed + 51 + depth)[:, :127], 0.8, min(4, i.dim))
+        where, axis = near_axes(x[row[at]] - mean, rotation(i.dim, i.seed + 51 + depth)[:, :127], RATIO, min(SPILL, i.dim))
         rows.append(row[at][where]), cells.append(c + ((axis.astype(np.int64) + 1) << (20 + 8 * depth)))
     return np.concatenate(rows), np.concatenate(cells)
 
@@ -197,17 +196,6 @@ def _fixed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buf[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
 
 
-def _leaves(x: np.ndarray, rows: np.ndarray, seed: int, depth: int = 0) -> Iterator[np.ndarray]:
-    """Row groups of at most LEAF rows in which near rows meet; groups that no rotation divides come out whole."""
-    if len(rows) <= LEAF or depth > 6:
-        yield rows
-        return
-    at, axis = near_axes(x[rows] - x[rows].mean(0), rotation(x.shape[1], seed + 101 + depth), 0.8, min(4, x.shape[1]))
-    order = np.argsort(axis, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(axis[order])) + 1):
-        yield from _leaves(x, rows[at[part]], seed, depth + 1)
-
-
 def _best(q: np.ndarray, near: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's ``k`` highest scores, ties by smaller id."""
     order = np.lexsort((near, -cosine, q))
@@ -216,6 +204,18 @@ def _best(q: np.ndarray, near: np.ndarray, cosine: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def _shortest(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists ``(row, near, cosine)`` as one, each pair once, cut to each row's ``k`` best."""
+    q, near, cosine = (np.concatenate([p[j] for p in parts]) for j in range(3))
+    order = np.lexsort((near, q))
+    q, near, cosine = q[order], near[order], cosine[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (near[1:] != near[:-1])
+    q, near, cosine = q[once], near[once], cosine[once]
+    keep = _best(q, near, cosine, k)
+    return q[keep], near[keep], cosine[keep]
+
+
 def _scan_cell(index, k: int, least: float, slack: float):
     ix = index
 
@@ -226,33 +226,30 @@ def _scan_cell(index, k: int, least: float, slack: float):
             return _PAIR.empty_table()
         exact = unit(unpack(t.column("vec").chunk(0), i.dim))
         x = exact.astype(np.float32)
-        codes = from_nibbles(_fixed(t.column("code").chunk(0)))
-        base = x @ i.centroids[t.column("cell")[0].as_py() % (1 << 20) // (2 * AXES)]
-        left, right, score = [], [], []
-        for rows in _leaves(x, np.arange(len(ids)), i.seed):
-            own = codes[rows]
-            for at in range(0, len(rows) - 1, 256):
-                q = rows[at : at + 256]
-                tables, scale = i.codes.short_tables(x[q])
-                for low in range(at, len(rows), 4096):
-                    sums = i.codes.scan(tables, own[low : low + 4096])
-                    r, c = np.nonzero(sums >= ((least - slack - base[q]) * scale)[None, :])
-                    keep = r + low > c + at
-                    a, b = q[c[keep]], rows[low + r[keep]]
-                    for s in range(0, len(a), 65536):
-                        cosine = np.einsum("nd,nd->n", exact[a[s : s + 65536]], exact[b[s : s + 65536]])
-                        good = (cosine >= least) & (ids[a[s : s + 65536]] != ids[b[s : s + 65536]])
-                        left.append(ids[a[s : s + 65536]][good])
-                        right.append(ids[b[s : s + 65536]][good])
-                        score.append(cosine[good])
-        if not left:
-            return _PAIR.empty_table()
-        a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, int))
-        a, b, s = a[once], b[once], s[once]
-        keep = _best(a, b, s, k)
-        return pa.table([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep])], schema=_PAIR)
+        code = _fixed(t.column("code").chunk(0))
+        base = x @ i.centroids[t.column("cell")[0].as_py() % (1 << 20)]
+        lists, parts, held = (ids[:0], ids[:0], np.zeros(0)), [], 0
+        for at in range(0, len(ids) - 1, 64):
+            tables, scale = i.codes.byte_tables(x[at : at + 64])
+            least_sum = np.clip(np.floor((least - slack - base[at : at + 64]) * scale), -32768, 32767).astype(np.int16)
+            for low in range(at, len(ids), 2048):
+                hit = i.codes.scan(tables, code[low : low + 2048]) >= least_sum
+                r, c = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                if len(r) > hit.size // 50:  # a dense cell: one product, and of each row and query only what its own list can take
+                    score = np.where(hit, exact[low : low + 2048] @ exact[at : at + 64].T, -2.0)
+                    most = [np.partition(score, n - min(k + 1, n), axis=d).take([n - min(k + 1, n)], axis=d) for d, n in ((0, len(score)), (1, score.shape[1]))]
+                    r, c = np.nonzero((score >= least) & ((score >= most[0]) | (score >= most[1])))
+                    score = score[r, c]
+                else:
+                    score = np.einsum("nd,nd->n", exact[low + r], exact[at + c])
+                keep = (score >= least) & (r + low > c + at) & (ids[low + r] != ids[at + c])
+                if keep.any():
+                    a, b, s = ids[at + c[keep]], ids[low + r[keep]], score[keep]
+                    parts += [(a, b, s), (b, a, s)]
+                    held += 2 * len(a)
+                if held > HELD:
+                    lists, parts, held = _shortest([lists, *parts], k), [], 0
+        return pa.table([pa.array(v) for v in _shortest([lists, *parts], k)], schema=_PAIR)
 
     return run
 

@@ -171,12 +171,6 @@ class AnisotropicCodes:
         scale = 30000.0 / max(1e-9, float(np.abs(both).max(1).max(1).sum(0).max()) + room)
         return np.rint(both.reshape(len(both), 256, -1) * scale).astype(np.int16), scale
 
-    def short_tables(self, queries: np.ndarray) -> tuple[np.ndarray, float]:
-        """The 16-entry tables in 16-bit integers and their scale."""
-        t = self.tables(queries)
-        scale = 30000.0 / max(1e-9, float(np.abs(t).max(1).sum(0).max()))
-        return np.rint(t * scale).astype(np.int16), scale
-
     @staticmethod
     def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products (row, query): one table row per four-bit code, summed over the subspaces."""

@@ -211,7 +211,7 @@ def test_pack_is_lossless(scale):
 
 def test_full_cells_are_divided(spark, monkeypatch):
     """A dense cone that holds most rows, each with a twin, its cells divided before the shuffle: twins still meet."""
-    monkeypatch.setattr(neighbours, "FULL", 60)
+    monkeypatch.setattr(neighbours, "FULL", 100)
     rng = np.random.default_rng(8)
     cone = rng.standard_normal(128) / np.sqrt(128) + rng.standard_normal((200, 128)) * 0.16 / np.sqrt(128)
     twins = cone + rng.standard_normal(cone.shape) * 0.02 / np.sqrt(128)
@@ -220,3 +220,17 @@ def test_full_cells_are_divided(spark, monkeypatch):
     assert sum((i, i + 200) in got for i in range(1, 201)) >= 190
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert all(u[a - 1] @ u[b - 1] >= 0.96 - 1e-6 for a, b in got)
+
+
+def test_dense_cone(spark, monkeypatch):
+    """All pairs of 1,200 rows are over the threshold: lists are cut on the way, and still the nearest are found."""
+    monkeypatch.setattr(neighbours, "HELD", 5000)
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(128) / np.sqrt(128) + rng.standard_normal((1200, 128)) * 0.16 / np.sqrt(128)).astype(np.float32)
+    lists = neighbours.near_neighbours(frame(spark, x, ["a"] * len(x))).collect()
+    got = {(r.id, r.near) for r in lists}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i + 1, int(j) + 1) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    assert len(lists) == 5 * len(x) and len(got & want) >= 0.98 * len(want)
