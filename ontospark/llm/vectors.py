@@ -249,3 +249,39 @@ def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024,
                 low = near[(x[a[near]].astype(np.float64) * x[b[near]]).sum(1) < least]
                 _unite(root, np.delete(a, low), np.delete(b, low))
     return root
+
+
+def link_between(x: np.ndarray, one: np.ndarray, y: np.ndarray | tuple[np.ndarray, np.ndarray], two: np.ndarray, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that are joined through a row of ``x`` and one of ``y`` at a cosine >= ``least``; ``one`` and ``two`` are the rows'
+    labels. Every pair of rows whose labels are not joined yet is compared, as in :func:`link_rows`. ``y`` may be a pair: the vectors,
+    and their :func:`units`."""
+    y, v = y if isinstance(y, tuple) else (y, units(y))
+    u = units(x)
+    names, code = np.unique(np.concatenate([one, two]), return_inverse=True)
+    a_code, b_code, root = code[: len(one)], code[len(one) :], np.arange(len(names))
+    for start in range(0, len(u), block):
+        for at in range(0, len(v), 4 * block):
+            own, other = root[a_code[start : start + block]], root[b_code[at : at + 4 * block]]
+            if (own == own[0]).all() and (other == own[0]).all():
+                continue
+            score = u[start : start + block] @ v[at : at + 4 * block].T
+            if score.max() < least - CLOSE:
+                continue
+            a, b = np.divmod(np.flatnonzero(score >= least - CLOSE), score.shape[1])
+            keep = own[a] != other[b]
+            a, b, near = a[keep], b[keep], score[a[keep], b[keep]] < least + CLOSE
+            near = np.flatnonzero(near)
+            if len(near):
+                low = near[(unit(x[a[near] + start]) * unit(y[b[near] + at])).sum(1) < least]
+                a, b = np.delete(a, low), np.delete(b, low)
+            _unite(root, own[a], other[b])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def units(x: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """:func:`unit` in float32, some rows at a time."""
+    out = np.empty(x.shape, np.float32)
+    for at in range(0, len(x), chunk):
+        out[at : at + chunk] = unit(x[at : at + chunk])
+    return out

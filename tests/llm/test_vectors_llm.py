@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ontospark.llm import clusters, neighbours
-from ontospark.llm.vectors import AnisotropicCodes, from_nibbles, link_rows, nibbles, pack, unpack
+from ontospark.llm.vectors import AnisotropicCodes, from_nibbles, link_between, link_rows, nibbles, pack, unpack
 
 SCHEMA = "id long, embedding array<float>, dataset string, cell int, grp string, vec string, lead string"
 
@@ -117,6 +117,40 @@ def test_chains_stay_whole(spark, monkeypatch, rows, cell):
         assert all({at[i - 1] for i, c in got.items() if c == k} == {at[k - 1]} for k in set(got.values()))
 
 
+@pytest.mark.parametrize("strip, cell, chunk", [(1 << 15, 1 << 17, 1 << 16), (60, 120, 1 << 16), (25, 50, 40)])
+def test_clusters_do_not_depend_on_the_cell_bound(spark, monkeypatch, strip, cell, chunk):
+    """Loose chains near the threshold, dense groups, pairs of these that one row joins, and copies: exact whatever fits into one cell."""
+    monkeypatch.setattr(clusters, "STRIP", strip), monkeypatch.setattr(clusters, "CELL", cell), monkeypatch.setattr(clusters, "CHUNK", chunk)
+    rng = np.random.default_rng(12)
+    x = [v for v in blobs(7, sizes=(60, 40, 20, 9), noise=60)[0]]
+    for start in (x[0], x[60], rng.standard_normal(128), rng.standard_normal(128), rng.standard_normal(128)):
+        v = start / np.linalg.norm(start)
+        for _ in range(30):  # each row is alike to the one before it only
+            step = rng.standard_normal(128)
+            step -= (step @ v) * v
+            v = 0.7005 * v + np.sqrt(1 - 0.7005**2) * step / np.linalg.norm(step)
+            x.append(v)
+    x = np.array(x, np.float32)
+    order = rng.permutation(len(x))
+    x = np.concatenate([x[order], x[order[:25]]])
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    low = np.arange(len(u))
+    while ((new := np.where(u @ u.T >= 0.7, low, len(u)).min(1)) != low).any():
+        low = new
+    size = np.bincount(low, minlength=len(u))[low]
+    want = {i + 1: int(k) + 1 for i, k in enumerate(low) if size[i] >= 5}
+    got = {r.id: r.cluster_id for r in clusters.cluster_members(frame(spark, x, ["a"] * len(x))).collect()}
+    assert got == want and len(set(want.values())) >= 5
+
+
+def test_links_between_two_sets():
+    turn = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+    x, y = (np.array([turn(d) for d in part], np.float32) for part in ((0, 80, 200), (40, 260, 110)))
+    one, two = link_between(x, np.array([7, 8, 9]), y, np.array([4, 5, 6]), 0.7)
+    assert sorted(zip(one.tolist(), two.tolist())) == [(6, 4), (7, 4), (8, 4)]
+    assert not len(link_between(x[2:], np.array([9]), y, np.array([9, 9, 9]), 0.7)[0])
+
+
 @pytest.mark.parametrize("degrees, length", [(20, 8), (30, 8), (40, 6)])
 def test_chains_in_a_plane(spark, degrees, length):
     rng, x, groups = np.random.default_rng(degrees), [], []
