@@ -146,6 +146,16 @@ def test_mix_in_runs_has_the_expected_count(spark, monkeypatch):
 EASY, HARD = "The cat is fat. It can run. We see a dog. ", "Comprehensive multidimensional characterisation presupposes electrochemical instrumentation whose intergenerational consequences practitioners nevertheless systematically underestimate throughout heterogeneous experimental configurations considering stoichiometric differentiation and sedimentation. "
 
 
+def test_bands_need_no_levels(spark, monkeypatch):
+    """Bands are the measures': no stage is run that can't change them, and the surrounding documents have no say."""
+    monkeypatch.setattr(reading, "reading_levels", lambda *a, **k: pytest.fail("levels have no part in the bands"))
+    easy, hard = "we go to the old mill now. " * 6, " ".join(["considerable"] * 25) + ". " + " ".join(["consequences"] * 25)
+    rows = [(1, easy, "EN-gb"), (2, hard, " en"), (3, easy, "de"), (4, easy, None), (5, None, "en"), (6, "short one.", "en"), (1, easy, "en"), (None, easy, "en")]
+    df = spark.createDataFrame(rows, "id long, body string, code string")
+    got = [tuple(r) for r in reading.reading_bands(df, doc_id="id", text="body", lang="code").collect()]
+    assert sorted(got) == [(1, "basic"), (2, "advanced")]
+
+
 def test_reading(spark):
     rng = random.Random(8)
     middle = lambda n: " ".join(f"Most curators link the {rng.choice(['garden', 'village', 'record'])} to item {n} because both are mapped in the same table." for _ in range(4))
