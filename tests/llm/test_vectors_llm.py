@@ -143,6 +143,17 @@ def test_clusters_do_not_depend_on_the_cell_bound(spark, monkeypatch, strip, cel
     assert got == want and len(set(want.values())) >= 5
 
 
+def test_repeated_tables_are_compared_once(spark, monkeypatch):
+    """A table repeated under other ids: what is dealt to the cells is as much as without the repeats, and all copies come out."""
+    seen, spread = [], clusters._spread
+    monkeypatch.setattr(clusters, "_spread", lambda copies, rows, *keys: seen.append(rows) or spread(copies, rows, *keys))
+    x = blobs(3, sizes=(12, 5), noise=10)[0]
+    got = {r.id: r.cluster_id for r in clusters.cluster_members(frame(spark, np.tile(x, (4, 1)), ["a"] * 4 * len(x))).collect()}
+    own = {i: 1 if i <= 12 else 13 for i in range(1, 18)}
+    assert {i: c for i, c in got.items() if (i - 1) % len(x) < 17} == {i + k * len(x): c for i, c in own.items() for k in range(4)}
+    assert seen == [len(x)]
+
+
 def test_links_between_two_sets():
     turn = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
     x, y = (np.array([turn(d) for d in part], np.float32) for part in ((0, 80, 200), (40, 260, 110)))
