@@ -208,6 +208,8 @@ def near_axes(x: np.ndarray, rot: np.ndarray, ratio: float, most: int) -> tuple[
 
 #: Float32 scores nearer than this to the threshold are computed again in float64.
 CLOSE = 1e-5
+#: Rows by rows of a block of scores: 1 MB, so that they are still in the cache when they are looked through.
+TILE = 512
 
 
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -223,7 +225,7 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024, split: int = 0) -> np.ndarray:
+def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = TILE, split: int = 0) -> np.ndarray:
     """For each unit row the smallest position of its group: rows of one label, and rows joined through pairs of cosine >= ``least``.
 
     Every pair of rows that is not joined yet is compared, block by block; with ``split`` only those of a row before it and one from it
@@ -234,11 +236,11 @@ def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024,
     root = first[code]
     for start in range(0, split or n, block):
         stop = min(split or n, start + block)
-        for at in range(split or start, n, 4 * block):
-            own, other = root[start:stop], root[at : at + 4 * block]
+        for at in range(split or start, n, block):
+            own, other = root[start:stop], root[at : at + block]
             if (own == own[0]).all() and (other == own[0]).all():
                 continue  # all of one group already
-            score = y[start:stop] @ y[at : at + 4 * block].T
+            score = y[start:stop] @ y[at : at + block].T
             a, b = np.divmod(np.flatnonzero(score >= least - CLOSE), score.shape[1])
             near = score[a, b] < least + CLOSE
             a, b = a + start, b + at
@@ -251,20 +253,21 @@ def link_rows(x: np.ndarray, label: np.ndarray, least: float, block: int = 1024,
     return root
 
 
-def link_between(x: np.ndarray, one: np.ndarray, y: np.ndarray | tuple[np.ndarray, np.ndarray], two: np.ndarray, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def link_between(x: np.ndarray | tuple[np.ndarray, np.ndarray], one: np.ndarray, y: np.ndarray | tuple[np.ndarray, np.ndarray], two: np.ndarray, least: float, block: int = TILE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of labels that are joined through a row of ``x`` and one of ``y`` at a cosine >= ``least``; ``one`` and ``two`` are the rows'
-    labels. Every pair of rows whose labels are not joined yet is compared, as in :func:`link_rows`. ``y`` may be a pair: the vectors,
-    and their :func:`units`."""
+    labels. Every pair of rows whose labels are not joined yet is compared, as in :func:`link_rows`. ``x`` and ``y`` may be pairs: the
+    vectors, and their :func:`units`."""
+    x, u = x if isinstance(x, tuple) else (x, units(x))
     y, v = y if isinstance(y, tuple) else (y, units(y))
-    u = units(x)
     names, code = np.unique(np.concatenate([one, two]), return_inverse=True)
     a_code, b_code, root = code[: len(one)], code[len(one) :], np.arange(len(names))
+    room = np.empty(min(block, len(u)) * min(block, len(v)), np.float32)  # not allocated for each block: its pages would be cleared every time
     for start in range(0, len(u), block):
-        for at in range(0, len(v), 4 * block):
-            own, other = root[a_code[start : start + block]], root[b_code[at : at + 4 * block]]
+        for at in range(0, len(v), block):
+            own, other = root[a_code[start : start + block]], root[b_code[at : at + block]]
             if (own == own[0]).all() and (other == own[0]).all():
                 continue
-            score = u[start : start + block] @ v[at : at + 4 * block].T
+            score = np.matmul(u[start : start + block], v[at : at + block].T, out=room[: len(own) * len(other)].reshape(len(own), len(other)))
             if score.max() < least - CLOSE:
                 continue
             a, b = np.divmod(np.flatnonzero(score >= least - CLOSE), score.shape[1])

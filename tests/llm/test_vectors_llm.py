@@ -143,6 +143,31 @@ def test_clusters_do_not_depend_on_the_cell_bound(spark, monkeypatch, strip, cel
     assert got == want and len(set(want.values())) >= 5
 
 
+def test_dense_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Groups whose rows lie 26 degrees from their mean, and groups of five: balls hold nearly all their rows, the rest is noise."""
+    monkeypatch.setattr(clusters, "STRIP", 60), monkeypatch.setattr(clusters, "CELL", 120)
+    loose, links = [], clusters._loose_links
+
+    def spy(rows, *args):
+        loose.append((rows.filter("not held") if "held" in rows.columns else rows).count())
+        return links(rows, *args)
+
+    monkeypatch.setattr(clusters, "_loose_links", spy)
+    rng, x, want = np.random.default_rng(21), [], {}
+    for size in [60] * 6 + [5] * 6:
+        c = rng.standard_normal(128)
+        c /= np.linalg.norm(c)
+        first = len(x) + 1
+        for _ in range(size):
+            step = rng.standard_normal(128)
+            step -= (step @ c) * c
+            x.append(np.cos(np.radians(26)) * c + np.sin(np.radians(26)) * step / np.linalg.norm(step))
+            want[len(x)] = first
+    x += list(rng.standard_normal((40, 128)))
+    got = {r.id: r.cluster_id for r in clusters.cluster_members(frame(spark, np.array(x, np.float32), ["a"] * len(x))).collect()}
+    assert got == want and loose[0] <= 40 + 0.2 * len(want)
+
+
 def test_repeated_tables_are_compared_once(spark, monkeypatch):
     """A table repeated under other ids: what is dealt to the cells is as much as without the repeats, and all copies come out."""
     seen, spread = [], clusters._spread
